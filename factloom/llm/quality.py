@@ -92,8 +92,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(len(texts), *features(texts, self.buckets)), -40, 40)))
 
 
-def train(texts: pa.Array, labels: np.ndarray, buckets: int = 1 << 15, rank: int = 4, epochs: int = 6, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Adam on the logistic loss, in a fixed order of pseudo-random batches."""
+def train(texts: pa.Array, labels: np.ndarray, buckets: int = 1 << 15, rank: int = 4, epochs: int = 6, least_steps: int = 300, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """Adam on the logistic loss, in a fixed order of pseudo-random batches: `epochs` passes, and more if that gives less than least_steps batches."""
     rng = np.random.default_rng(seed)
     width = buckets + STATS * len(EDGES) + 1
     params = [np.zeros((width, 1)), rng.normal(0, 0.05, (width, rank))]
@@ -108,7 +108,8 @@ def train(texts: pa.Array, labels: np.ndarray, buckets: int = 1 << 15, rank: int
     rows, columns, values = rows[order], columns[order], values[order]
     ends = np.searchsorted(rows, np.arange(len(texts) + 1))
     step = 0
-    for _ in range(epochs if len(texts) else 0):
+    passes = max(epochs, -(-least_steps // -(-len(texts) // batch))) if len(texts) else 0
+    for _ in range(passes):
         shuffled = rng.permutation(len(texts))
         for s in range(0, len(shuffled), batch):
             docs = shuffled[s : s + batch]
