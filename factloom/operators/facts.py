@@ -37,7 +37,7 @@ def as_of_join(probes: DataFrame, assertions: DataFrame, key: str = "subject_id"
     subject with a long history is spread over its buckets. An open end is cut off after the last probe, whose time is one
     aggregate of the probes.
     """
-    step = int(F_seconds(width))
+    step = seconds_of(width)
     bucket = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / step)
     last = probes.agg(F.max(bucket(F.col(at))).alias("last"))
     live = assertions.where("status = 'asserted'").crossJoin(F.broadcast(last))  # one row
@@ -46,7 +46,7 @@ def as_of_join(probes: DataFrame, assertions: DataFrame, key: str = "subject_id"
     return probes.withColumn("bucket", bucket(F.col(at))).join(spread, [key, "bucket"]).where(valid_at(F.col("valid_from"), F.col("valid_until"), F.col(at))).drop("bucket")
 
 
-def F_seconds(width: str) -> int:
+def seconds_of(width: str) -> int:
     """Seconds of "<n> day|hour|minute|second"."""
     n, unit = width.split()
     return int(n) * {"day": 86400, "hour": 3600, "minute": 60, "second": 1}[unit.rstrip("s")]
@@ -87,14 +87,22 @@ def contradictions(valid: DataFrame) -> DataFrame:
 def overlapping_pairs(assertions: DataFrame, width: str = "1 day") -> DataFrame:
     """Unordered pairs of asserted rows of one subject and predicate that overlap and claim different objects.
 
-    Sweep by interval start: the later of a pair starts within the earlier one, so the join is an as-of join of starts, and no
-    pair is made that does not overlap.
+    Of two rows that overlap, the later start lies within the earlier one. So the earlier row is dealt to every bucket of time
+    that it covers, up to the last start, and the later one to the bucket of its start: rows meet only near in time, and each
+    pair once. A subject with a long history is spread over its buckets.
     """
+    step = seconds_of(width)
+    bucket = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / step)
     live = assertions.where("status = 'asserted'").select("assertion_id", "subject_id", "predicate_iri", "object_value", "valid_from", "valid_until")
-    b = live.select(*(F.col(c).alias(f"b_{c}") for c in live.columns))
-    same = (F.col("subject_id") == F.col("b_subject_id")) & (F.col("predicate_iri") == F.col("b_predicate_iri")) & (F.col("object_value") != F.col("b_object_value"))
-    pairs = live.join(b, same & (F.col("assertion_id") < F.col("b_assertion_id")) & overlaps(F.col("valid_from"), F.col("valid_until"), F.col("b_valid_from"), F.col("b_valid_until")))
-    return pairs.select("subject_id", F.col("assertion_id").alias("left_id"), F.col("b_assertion_id").alias("right_id"))
+    last = live.agg(F.max(bucket(F.col("valid_from"))).alias("last"))
+    end = F.least(F.coalesce(bucket(F.col("valid_until")), F.col("last")), F.col("last"))
+    early = live.crossJoin(F.broadcast(last)).where(bucket(F.col("valid_from")) <= end)  # one row
+    early = early.withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), end))).drop("last")
+    late = live.select(*(F.col(c).alias(f"b_{c}") for c in live.columns), bucket(F.col("valid_from")).alias("b_bucket"))
+    same = (F.col("subject_id") == F.col("b_subject_id")) & (F.col("predicate_iri") == F.col("b_predicate_iri")) & (F.col("bucket") == F.col("b_bucket")) & (F.col("object_value") != F.col("b_object_value"))
+    order = (F.col("valid_from") < F.col("b_valid_from")) | ((F.col("valid_from") == F.col("b_valid_from")) & (F.col("assertion_id") < F.col("b_assertion_id")))
+    pairs = early.join(late, same & order & overlaps(F.col("valid_from"), F.col("valid_until"), F.col("b_valid_from"), F.col("b_valid_until")))
+    return pairs.select("subject_id", F.least("assertion_id", "b_assertion_id").alias("left_id"), F.greatest("assertion_id", "b_assertion_id").alias("right_id"))
 
 
 def history(assertions: DataFrame, include_superseded: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from factloom.plans import queries as core
+from factloom.plans import queries_more  # noqa: F401
 
 
 def plain(v):
