@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows whose verdict is to stay: those that go are fewer, so they alone are joined."""
+    """The rows whose verdict is to stay: those that go are fewer, so they alone are joined. A row without id is named by no verdict and stays."""
     gone = verdicts.where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
