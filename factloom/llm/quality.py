@@ -92,25 +92,19 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(len(texts), *features(texts, self.buckets)), -40, 40)))
 
 
-def train(texts: pa.Array, labels: np.ndarray, buckets: int = 1 << 15, rank: int = 4, epochs: int = 6, least_steps: int = 300, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
+def train(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, buckets: int = 1 << 15, rank: int = 4, epochs: int = 6, least_steps: int = 300, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
     """Adam on the logistic loss, in a fixed order of pseudo-random batches: `epochs` passes, and more if that gives less than least_steps batches."""
     rng = np.random.default_rng(seed)
     width = buckets + STATS * len(EDGES) + 1
     params = [np.zeros((width, 1)), rng.normal(0, 0.05, (width, rank))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    parts, base = [], 0
-    for part in slices(pa.record_batch([texts], names=["text"]), "text", 1 << 20):
-        r, c, x = features(part.column("text"), buckets)
-        parts.append((r + base, c, x))
-        base += part.num_rows
-    rows, columns, values = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     order = np.argsort(rows, kind="stable")
     rows, columns, values = rows[order], columns[order], values[order]
-    ends = np.searchsorted(rows, np.arange(len(texts) + 1))
+    ends = np.searchsorted(rows, np.arange(len(labels) + 1))
     step = 0
-    passes = max(epochs, -(-least_steps // -(-len(texts) // batch))) if len(texts) else 0
+    passes = max(epochs, -(-least_steps // -(-len(labels) // batch))) if len(labels) else 0
     for _ in range(passes):
-        shuffled = rng.permutation(len(texts))
+        shuffled = rng.permutation(len(labels))
         for s in range(0, len(shuffled), batch):
             docs = shuffled[s : s + batch]
             size = ends[docs + 1] - ends[docs]
@@ -134,18 +128,32 @@ def train(texts: pa.Array, labels: np.ndarray, buckets: int = 1 << 15, rank: int
     return Machine(buckets, params[0][:, 0].copy(), params[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 15, **options) -> Machine:
     """Trains on at most `sample` labelled rows that are not held out, those with the smallest hashes of their ids.
 
-    Labels that are null or contradict each other are left out. `sample` bounds what reaches the driver; nothing else about
+    Labels that are null or contradict each other are left out; of texts that share an id the smallest counts. `sample` bounds what reaches the driver; nothing else about
     the operator depends on it.
     """
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc32_mod(id_col, 5) != 0))
     given = given.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other")).where("label = other").select("id", "label")
     chosen = given.orderBy(F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary")), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").orderBy("id", "text")
-    got = rows.select("text", "label").toArrow()
-    return train(got.column("text").combine_chunks(), got.column("label").to_numpy().astype(np.float64), **options)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # one text an id, however often it is repeated
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch_ in batches:
+            for part in slices(batch_, "text", 2 << 20):
+                row, column, value = features(part.column("text"), buckets)
+                order = np.lexsort((column, row))
+                ends = pa.array(np.searchsorted(row[order], np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (column.astype(np.int32), value)]
+                yield pa.record_batch([part.column("id"), part.column("label"), *lists], names=["id", "label", "columns", "values"])
+
+    # features are made where the texts are; the driver gets those of the sample alone
+    got = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("double").alias("label"), "text").mapInArrow(run, "id long, label double, columns array<int>, values array<double>").orderBy("id", "columns").toArrow()
+    columns, values = (got.column(k).combine_chunks() for k in ("columns", "values"))
+    sizes = np.diff(columns.offsets.to_numpy()) if len(columns) else np.zeros(0, np.int64)
+    return train(np.repeat(np.arange(len(sizes)), sizes), columns.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy(), got.column("label").to_numpy(), buckets=buckets, **options)
 
 
 def quality_scores(docs: DataFrame, machine: Machine, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
