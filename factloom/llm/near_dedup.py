@@ -135,45 +135,91 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where(den * F.col("both") >= num * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def _across(bands: int, num: int, den: int, block: int, all_pairs: bool):
-    """Pairs of one bucket's members in different components whose sketches agree enough; the best partner a component, or all."""
+def _needed(bands: int, num: int, den: int):
+    """The members of a group that have a possible partner in another component, one whose sketch agrees enough.
+
+    A pair that shares several bands belongs to the first of them, so its sets need to meet only there.
+    """
     t = bands * ROWS
     p = num / den
     least = p - 4.5 * (p * (1 - p) / t) ** 0.5  # a pair at the threshold falls below with a chance of 3 in a million
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp, blocks = (group.column(k).to_numpy() for k in ("id", "component", "block"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(ids), t)
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, comp, blocks, bi = (group.column(k).to_numpy() for k in ("id", "component", "block", "bi"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(ids), bands, ROWS)
+        inside = blocks.min() == blocks.max()
+        need = np.zeros(len(ids), bool)
         for i in range(len(ids)):
-            others = np.flatnonzero((comp != comp[i]) & ((blocks != blocks[i]) | (blocks.min() == blocks.max())))
-            if not len(others):
-                continue
-            like = (sketch[others] == sketch[i]).mean(axis=1)
-            others, like = others[like >= least], like[like >= least]
-            if not all_pairs and len(others):
-                order = np.lexsort((ids[others], -like))
-                others = others[order]
-                others = others[np.unique(comp[others], return_index=True)[1]]
-            a_out.append(np.full(len(others), ids[i]))
-            b_out.append(ids[others])
-        a, b = np.concatenate(a_out), np.concatenate(b_out)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            others = np.flatnonzero((comp[i + 1 :] != comp[i]) & (inside | (blocks[i + 1 :] != blocks[i]))) + i + 1
+            same = sketch[others] == sketch[i]
+            hit = (same.mean(axis=(1, 2)) >= least) & (same.all(axis=2).argmax(axis=1) == bi[0])
+            if hit.any():
+                need[i] = need[others[hit]] = True
+        return group.filter(pa.array(need)).select(["band", "g1", "g2", "id", "component"])
 
     return run
 
 
-def _mixed(buckets: DataFrame, comps: DataFrame, block: int) -> DataFrame | None:
-    """Members of buckets that hold more than one component, dealt out so that any two meet in some group of about 2 * block rows; None if there are none."""
-    marked = written(buckets.join(comps, buckets.id == comps.node, "left").select("band", "id", F.coalesce("component", "id").alias("component")), "marked")
-    wide = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+def _spanning(num: int, den: int, chunk: int = 4096):
+    """Links between components in one group, decided on the full sets: as many as span them, not all pairs."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
+        sets = group.column("set").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        owner = np.repeat(np.arange(len(ids)), size)
+        _, column, count = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        # shingles of one member alone meet nothing; the others' columns are numbered anew
+        shared = count > 1
+        column, owner = (np.cumsum(shared) - 1)[column[shared[column]]], owner[shared[column]]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)  # whole numbers below 2**24 are exact
+        for start in range(0, int(shared.sum()), chunk):
+            lo, hi = np.searchsorted(column, (start, start + chunk))
+            rows = np.zeros((len(ids), chunk), np.float32)
+            rows[owner[lo:hi], column[lo:hi] - start] = 1
+            both += rows @ rows.T
+        both = both.astype(np.int64)
+        near = den * both >= num * (size[:, None] + size[None] - both)
+        near &= comp[:, None] != comp[None]
+        # components as nodes: the first link found between what is not connected yet
+        root = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        a_out, b_out = [], []
+        for a, b in np.argwhere(np.triu(near)).tolist():
+            x, y = top(int(comp[a])), top(int(comp[b]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a_out.append(ids[a])
+                b_out.append(ids[b])
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return run
+
+
+def _mixed(buckets: DataFrame, comps: DataFrame, sizes: DataFrame, block: int) -> DataFrame | None:
+    """Members of buckets that hold more than one component, dealt out so that any two meet in a group; None if there are none.
+
+    A bucket of more than `block` members, or whose sets are large, is cut into blocks, and a group is a pair of blocks.
+    """
+    marked = buckets.join(comps, buckets.id == comps.node, "left").select("band", "bi", "id", F.coalesce("component", "id").alias("component"))
+    marked = written(marked.join(sizes, "id"), "marked")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / (block * 2000))).cast("int")
+    wide = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), parts.alias("blocks")).where("lo <> hi").select("band", "blocks")
     wide = written(wide, "wide")
     if wide.isEmpty():
         return None
     rows = marked.join(wide, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a group for each pair of blocks; a row goes to the pairs that its block is in
+    # a row goes to the pairs that its block is in
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return rows.select("band", "id", "component", "block", other).select("band", "id", "component", "block", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"))
+    return rows.select("band", "bi", "id", "component", "block", other).select("band", "bi", "id", "component", "block", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"))
 
 
 def near_classes(docs: DataFrame, num: int, den: int, width: int, bands: int, block: int, log2_bits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -181,9 +227,9 @@ def near_classes(docs: DataFrame, num: int, den: int, width: int, bands: int, bl
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = written(rows.mapInArrow(_signatures(width, bands), "id long, n_shingles long, digest binary, sketch binary, bands array<long>"), "signatures")
     # one node for each distinct set; copies are never paired
-    nodes = signed.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    nodes = signed.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    buckets = nodes.select(F.explode("bands").alias("band"), "id")
+    buckets = nodes.select(F.posexplode("bands").alias("bi", "band"), "id")
     pivots = buckets.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("band", "pivot")
     pivots = written(pivots, "pivots")  # a plain table on this side lets adaptive execution split a hot bucket
     shared = written(buckets.join(pivots, "band"), "buckets")  # only buckets of two sets or more
@@ -191,16 +237,13 @@ def near_classes(docs: DataFrame, num: int, den: int, width: int, bands: int, bl
     sets = written(rows.where("id is not null").mapInArrow(_sets(width, chosen), "id long, set array<long>").where("size(set) > 0").dropDuplicates(["id", "set"]), "sets")
     stars = written(_verified(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets, num, den), "stars")
     comps = components(stars)
-    # members that no star joined: first the likeliest partner in each other component, then all that are left
-    for all_pairs in (False, True):
-        mixed = _mixed(shared.select("band", "id"), comps, block)
-        if mixed is None:
-            break
-        pairs = mixed.join(nodes.select("id", "sketch"), "id").groupBy("band", "g1", "g2").applyInArrow(_across(bands, num, den, block, all_pairs), "a long, b long").distinct()
-        more = written(_verified(pairs, sets, num, den), "across")
-        stars = stars.union(more)
-        if not more.isEmpty():
-            comps = components(stars)
+    # what no star joined: the members of a bucket that are still apart are compared with each other, in groups
+    mixed = _mixed(shared.select("band", "bi", "id"), comps, nodes.select("id", "n_shingles"), block)
+    if mixed is not None:
+        need = mixed.join(nodes.select("id", "sketch"), "id").groupBy("band", "g1", "g2").applyInArrow(_needed(bands, num, den), "band long, g1 int, g2 int, id long, component long")
+        need = written(need, "need")
+        more = need.join(sets, "id").groupBy("band", "g1", "g2").applyInArrow(_spanning(num, den), "a long, b long")
+        comps = components(written(stars.union(more), "all"))
     found = nodes.select("id", "digest").join(comps, nodes.id == comps.node, "left").select("digest", F.coalesce("component", "id").alias("component"))
     return signed.select("id", "n_shingles", "digest"), found
 
@@ -211,7 +254,7 @@ def near_dedup(
     den: int = 100,
     width: int = 5,
     bands: int = 24,
-    block: int = 1000,
+    block: int = 500,
     log2_bits: int = 23,
     id_col: str = "doc_id",
     text_col: str = "text",
