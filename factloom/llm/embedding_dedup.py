@@ -70,6 +70,25 @@ def _blocks(size: int):
     return run
 
 
+def _merged(group: pa.Table) -> pa.Table:
+    """Neighbouring blocks as one block."""
+    group = group.sort_by([("old", "ascending"), ("nth", "ascending")])
+    ends = lambda k, f: pa.array([f(np.array(group.column(k).to_pylist()), axis=0).tolist()])
+    joined = {k: pa.array([b"".join(group.column(k).to_pylist())], pa.binary()) for k in ("ids", "ws", "p", "vecs")}
+    return pa.table({"part": group.column("part").slice(0, 1), "nth": pa.array([0], pa.int32()), "lo": ends("lo", np.min), "hi": ends("hi", np.max), **joined})
+
+
+def bundles(counts: list[int], block: int) -> list[int]:
+    """A number for each part: neighbours share it as long as their rows fit one block together."""
+    out, number, held = [], -1, block + 1
+    for n in counts:
+        if held + n > block:
+            number, held = number + 1, 0
+        held += n
+        out.append(number)
+    return out
+
+
 def interval_pairs(lo: np.ndarray, hi: np.ndarray, eps: float) -> list[tuple[int, int]]:
     """Pairs i <= j of boxes of a sequence that may be within eps: the sequence joined with itself, halved recursively, far halves skipped."""
     n = len(lo)
@@ -175,12 +194,20 @@ def _one_dimension(nodes: DataFrame, kind: str, dim: int, threshold: float, dims
     parts = max(1, min(2048, -(-nodes.count() // block)))
     # the grid order of the cells; within a cell the projections themselves, so that a crowded cell can be divided as well
     ordered = placed.repartitionByRange(parts, "cells", "p", "id").sortWithinPartitions("cells", "p", "id").select("id", "w", "vec", "p")
-    blocks = written(ordered.mapInArrow(_blocks(block), "part int, nth int, lo array<double>, hi array<double>, ids binary, ws binary, p binary, vecs binary"), "blocks")
+    layout = "part int, nth int, lo array<double>, hi array<double>, ids binary, ws binary, p binary, vecs binary"
+    blocks = written(ordered.mapInArrow(_blocks(block), layout), "blocks")
+    spark = nodes.sparkSession
+    # a session may deal the rows to more parts than asked for: small neighbours become one block again
+    filled = blocks.groupBy("part").agg(F.sum(F.length("ids") / 8).cast("long").alias("rows")).orderBy("part").collect()
+    number = bundles([r["rows"] for r in filled], block)
+    if number and number[-1] + 1 <= 0.75 * len(number):
+        names = spark.createDataFrame(pa.table({"old": pa.array([r["part"] for r in filled], pa.int32()), "new": pa.array(number, pa.int32())}))
+        moved = blocks.join(F.broadcast(names), blocks.part == names.old).withColumn("part", F.col("new")).select("part", "old", "nth", "lo", "hi", "ids", "ws", "p", "vecs")
+        blocks = written(moved.groupBy("part").applyInArrow(_merged, layout), "bundles")
     # recursion over at most 2048 parts on the driver, however many blocks there are
     edge = lambda f, k: F.array(*(f(F.col(k)[i]) for i in range(dims))).alias(k)
     tops = blocks.groupBy("part").agg(edge(F.min, "lo"), edge(F.max, "hi")).orderBy("part").collect()
     near = interval_pairs(np.array([r["lo"] for r in tops]).reshape(-1, dims), np.array([r["hi"] for r in tops]).reshape(-1, dims), eps)
-    spark = nodes.sparkSession
     top_pairs = spark.createDataFrame(pa.table({"pa": pa.array([tops[i]["part"] for i, _ in near], pa.int32()), "pb": pa.array([tops[j]["part"] for _, j in near], pa.int32())}))
     # then over the blocks of the parts that are left
     box = blocks.select("part", "nth", "lo", "hi")
