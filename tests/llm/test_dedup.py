@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from factloom.llm import exact_dedup as ed
-from factloom.llm.embedding_dedup import embedding_dedup, interval_pairs
+from factloom.llm.embedding_dedup import bundles, embedding_dedup, interval_pairs
 from factloom.llm.exact_dedup import exact_dedup
 from factloom.llm.graph import components
 from factloom.llm.near_dedup import near_dedup, sketches
@@ -138,7 +138,7 @@ def cosine_expected(rows, threshold=0.95):
     return {i: (n[i], c) for i, c in closed([i for i, _ in rows], links).items()}
 
 
-def test_embeddings(spark, none):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(12, 16))
     rows = [(i, [float(np.float32(x)) for x in centers[i % 12] + rng.normal(size=16) * 0.22]) for i in range(600)]
@@ -148,6 +148,11 @@ def test_embeddings(spark, none):
     got = embedding_dedup(frame, block=64, dims=4)
     assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == cosine_expected(rows)
     assert embedding_dedup(frame.limit(0)).count() == 0
+    # a session that deals out more parts than asked for
+    kind = type(frame)
+    deal = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *cols: deal(self, 40, *cols))
+    assert bundles([3, 3, 3, 10, 1], 6) == [0, 0, 1, 2, 3] and bundles([], 6) == []
     again = embedding_dedup(frame.select("vec_id", frame.embedding.cast("array<double>").alias("embedding")), block=200)
     assert {r.vec_id: (r.n_links, r.component_id) for r in again.collect()} == cosine_expected(rows)
 

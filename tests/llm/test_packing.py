@@ -90,3 +90,20 @@ def test_pipeline(spark, sf, texts):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == want
     check([(i, texts[i]) for i in want], rows, 2048)
+
+
+def test_stages_on_odd_rows(spark, sf, odd, odd_rows, none):
+    """Null ids and texts, repeated rows, clashing columns: stages keep their columns and lose only what they decide on."""
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns
+        ids = [str(r.doc_id) for r in out.collect()]
+        if name == "quality":  # no labelled row: nothing is known against any text
+            assert sorted(ids) == sorted(str(r[0]) for r in odd_rows)
+        elif name == "exact":
+            assert "2" in ids and "4" not in ids and ids.count("3") == 1
+        else:
+            assert "1" in ids and "2" not in ids and ids.count("5") == 2
+        assert stage(spark, none, sf).count() == 0
+    check([(r[0], r[1]) for r in odd_rows], corpus_pipeline.packing(spark, odd, sf).collect(), 2048)
+    assert corpus_pipeline.packing(spark, none, sf).count() == 0
