@@ -14,7 +14,7 @@ from factloom.llm import url_filter
 from factloom.llm.bpe import Codec, bpe_decode, bpe_digests, bpe_encode
 from factloom.llm.html_extract import extract, main_blocks, parse
 from factloom.llm.licenses import BASE, WORD_BYTES, Automaton, Scanner, license_scan
-from factloom.llm.lm_score import lm_scores
+from factloom.llm.lm_score import Filter, levels, lm_scores, ngram_tables
 from factloom.llm.quality import Machine, features, fit, keep_good, quality_scores
 from factloom.llm.url_filter import url_verdicts
 
@@ -231,3 +231,42 @@ def test_language_model(docs, texts, odd, odd_rows, none):
 def test_model_beats_base(docs):
     got = [r for r in lm_scores(docs, filter_bits=26).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_filters_grow_with_their_ngrams():
+    rng = np.random.default_rng(9)
+    for n in (300, 3_000, 300_000):
+        keys = np.unique(rng.integers(0, 1 << 32, 2 * n, np.uint32))
+        rng.shuffle(keys)
+        counts = rng.zipf(1.8, n).clip(max=100_000)
+        f = Filter.made(keys[:n], counts, 2, 0.01)
+        assert (f.level(keys[:n]) >= levels(counts)).all()
+        assert (f.level(keys[n:]) > 0).mean() < 0.025 and (f.level(keys[:n]) > levels(counts)).mean() < 0.025
+
+
+def test_share_of_bits_is_the_same_at_every_size(docs):
+    shares, sizes = [], []
+    for part in (docs.where("doc_id % 20 = 0"), docs):
+        images = [np.frombuffer(r.image, np.uint8) for r in ngram_tables(part, 6, 2, 0.01, None).where("image is not null").collect()]
+        sizes.append(sum(map(len, images)))
+        shares.append(sum(int(np.unpackbits(x).sum()) for x in images) / (8 * sizes[-1]))
+    assert sizes[1] > 2 * sizes[0] and all(0.08 < x < 0.11 for x in shares)
+
+
+def test_scores_with_grown_filters_are_those_of_exact_counts(docs, texts):
+    split = {i: [b"", *(t or "").encode().lower().split(), b"\n"] for i, t in texts.items()}
+    one, two = {}, {}
+    for i, ws in split.items():
+        if not held_out(i, 7, 2):
+            for v, w in zip(ws, ws[1:]):
+                one[w] = one.get(w, 0) + 1
+                two[v, w] = two.get((v, w), 0) + 1
+    floor = sum(one.values()) + len(one) + 1
+    mean = lambda c: (3 * 2.0 ** (int(c).bit_length() - 1) - 1) / 2 if c else 0.0
+    c1 = lambda w: mean(one.get(w or b"\n", 0))
+    off = n = 0
+    for r in lm_scores(docs).collect():
+        ws = split[r.doc_id]
+        want = sum(np.log10(min(1.0, (min(mean(two.get((v, w), 0)), c1(v), c1(w)) + 20 * (c1(w) + 1) / floor) / (c1(v) + 20))) for v, w in zip(ws, ws[1:]))
+        off, n = off + abs(r.score - want), n + r.n_tokens
+    assert off / n < 0.01
