@@ -57,7 +57,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+    return url_verdicts(table(spark, sf_dir, "pages")).drop("trust", "distrust", "tainted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -71,6 +71,25 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, steps: int, to
     return rank
 
 
+def tainted_links(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """host, tainted: the larger of its seed and damping * the mean of `tainted` over its out-links.
+
+    Unlike a rank, it does not fall with the number of hosts that link to the same one, and no seed host ends below its seed.
+    Rounds only raise it, and each moves it by `damping` times the last at most, so they end at any tolerance above 0.
+    """
+    out = edges.groupBy("src").agg(F.sum("links").alias("total"))
+    share = written(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("part")), "shares")
+    now = seeds.select("host", "seed", F.col("seed").alias("tainted"))
+    while True:
+        got = share.join(now.where("tainted > 0"), share.dst == now.host).groupBy("src").agg(F.sum(F.col("part") * F.col("tainted")).alias("got"))
+        new = now.withColumnRenamed("tainted", "old").join(got, F.col("host") == got.src, "left")
+        new = written(new.select("host", "seed", "old", F.greatest("seed", damping * F.coalesce("got", F.lit(0.0))).alias("tainted")), "tainted")
+        moved = new.agg(F.max(F.abs(F.col("tainted") - F.col("old")))).first()[0]
+        now = new.select("host", "seed", "tainted")
+        if moved is None or moved <= tolerance:
+            return now.select("host", "tainted")
+
+
 def url_verdicts(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
@@ -83,11 +102,13 @@ def url_verdicts(
     tolerance: float = 1e-4,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, trust, distrust.
+    """One row per page: id, host, path, rule, verdict, trust, distrust, tainted.
 
     A host's trust seed is the part of its pages that rules allow; its distrust seed the part that they block, or 1 if it is
-    among blocked_hosts. Trust flows along links, distrust against them. Where no rule fits, a page is blocked if its host's
-    distrust is at least `threshold` and above its trust; a host that nothing speaks against is allowed. A null url, or one
+    among blocked_hosts. Trust flows along links, distrust against them. Where no rule fits, a page is blocked if its host is among
+    blocked_hosts, or if `tainted`, the damped share of the host's links that lead to distrusted hosts, or its distrust seed, is at
+    least `threshold` and above its trust; a host that nothing speaks against is allowed. distrust, a rank, is divided among
+    all that link to a host, so it orders hosts and decides nothing. A null url, or one
     without "://", has empty host and path, fits no rule and is allowed. Null html has no links. Repeated pages are judged alike.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
@@ -104,7 +125,8 @@ def url_verdicts(
     trust = propagate(hosts.select("host", F.col("trusted").alias("seed")), edges, damping, steps, tolerance)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     distrust = propagate(hosts.select("host", F.col("blocked").alias("seed")), back, damping, steps, tolerance)
-    ranks = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host")
-    out = judged.join(ranks, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
-    return out.select(id_col, "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+    tainted = tainted_links(hosts.select("host", F.col("blocked").alias("seed")), edges, damping, tolerance)
+    ranks = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host").join(tainted, "host")
+    out = judged.join(ranks, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust", "tainted")})
+    bad = listed | ((F.col("tainted") >= threshold) & (F.col("tainted") > F.col("trust")))
+    return out.select(id_col, "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust", "tainted")

@@ -270,3 +270,23 @@ def test_scores_with_grown_filters_are_those_of_exact_counts(docs, texts):
         want = sum(np.log10(min(1.0, (min(mean(two.get((v, w), 0)), c1(v), c1(w)) + 20 * (c1(w) + 1) / floor) / (c1(v) + 20))) for v, w in zip(ws, ws[1:]))
         off, n = off + abs(r.score - want), n + r.n_tokens
     assert off / n < 0.01
+
+
+def test_blocked_hosts_and_their_link_farm(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/p">x</a>' for h in hosts)
+    spam = "spam-farm.example.org"
+    pages = [
+        (1, f"http://{spam}/", link("half.org")),
+        *((10 + i, f"http://farm{i}.org/", link(spam)) for i in range(5)),
+        (20, "http://behind.org/", link(*(f"farm{i}.org" for i in range(5)))),
+        (21, "http://half.org/", link(spam, "fine.org", "fine.org")),
+        (22, "http://fine.org/", link("half.org")),
+        (23, "http://a.org/", link(spam, "b.org")),
+        (24, "http://b.org/", link("a.org")),
+        *((30 + i, f"http://good{i}.com/", link(spam)) for i in range(9)),  # a popular blocked host has trusted links
+    ]
+    got = {r.page_id: r for r in url_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 10, 11, 12, 13, 14, 20, 23, 24}
+    assert got[1].tainted == 1 and got[1].trust > 1 and got[1].distrust < 0.5
+    a = 0.425 / (1 - 0.425 * 0.85)
+    assert abs(got[10].tainted - 0.85) < 1e-9 and abs(got[20].tainted - 0.85**2) < 1e-9 and abs(got[23].tainted - a) < 1e-3 and abs(got[24].tainted - 0.85 * a) < 1e-3
