@@ -39,7 +39,7 @@ _SCALARS: list[tuple[str, str, str, Callable[[], Column], str]] = [
     ("x02_normalize_name", "documents", "doc_id", lambda: X.normalize_name(F.substring("text", 1, 60)), r"trim(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"),
     ("x05_source_urn", "documents", "doc_id", lambda: X.source_urn(F.concat(F.col("source"), F.lit(" feed/"), F.col("lang"))), "'urn:source:' || url_encode(source || ' feed/' || lang)"),
     ("x06_iri_tail", "pages", "page_id", lambda: X.iri_tail(F.col("url")), r"regexp_extract(url, '([^/#:]*)$', 1)"),
-    ("x07_prefix", "pages", "page_id", lambda: F.when(F.startswith("url", F.lit("https://")), F.substring("url", 9, 1000)).otherwise(F.col("url")), "CASE WHEN starts_with(url, 'https://') THEN substr(url, 9, 1000) ELSE url END"),
+    ("x07_prefix", "pages", "page_id", lambda: F.when(F.startswith("url", F.lit("https://")), F.substr("url", F.lit(9))).otherwise(F.col("url")), "CASE WHEN starts_with(url, 'https://') THEN substr(url, 9, 1000) ELSE url END"),
     ("x08_regex_slots", "pages", "page_id", lambda: F.regexp_extract("url", r"(https?://[^\s<>\"'?#]+)", 1), r"regexp_extract(url, '(https?://[^\s<>""''?#]+)', 1)"),
     ("x10_span_check", "documents", "doc_id", lambda: X.span_matches(F.col("text"), F.lit(2), F.lit(8), F.substring("text", 3, 6)).cast("string"), "CASE WHEN length(text) >= 3 AND substr(text, 3, 6) = substr(text, 3, 6) THEN 'true' WHEN substr(text, 3, 6) = '' THEN 'true' ELSE 'false' END"),
     ("x11_prefix_cap", "documents", "doc_id", lambda: F.left(F.trim("text"), F.lit(200)), "left(trim(text, ' '), 200)"),
@@ -68,6 +68,17 @@ for _name, _table, _key, _col, _sql in _SCALARS:
     ORACLE_SQL[_name] = f"SELECT {_key} AS key, {_sql} AS value FROM {_table}"
 
 
+# whole texts; x01 and x02 normalise their first 60 characters, as their SQL does
+@register("x01_normalize_surface_whole", None)
+def _x01_whole(s, d):
+    return M.load(s, d, "documents").select(F.col("doc_id").alias("key"), X.normalize_surface(F.col("text")).alias("value"))
+
+
+@register("x02_normalize_name_whole", None)
+def _x02_whole(s, d):
+    return M.load(s, d, "documents").select(F.col("doc_id").alias("key"), X.normalize_name(F.col("text")).alias("value"))
+
+
 @register("x04_overlap_coefficient", """SELECT p_partkey AS key, round(len(list_intersect(string_split(p_name, ' '), string_split(lower(p_type || ' ' || p_name || ' x'), ' ')))::DOUBLE / least(len(list_distinct(string_split(p_name, ' '))), len(string_split(lower(p_type || ' ' || p_name || ' x'), ' '))), 6) AS value FROM part""")
 def _x04(s, d):
     alias = F.lower(F.concat_ws(" ", "p_type", "p_name", F.lit("x")))
