@@ -598,6 +598,14 @@ def _j22(s, d):
     return a.join(b, "l_orderkey").where("left_id < right_id").select("left_id", "right_id").distinct()
 
 
+# j22 and its SQL read the lines of number 7 alone; this reads all lines
+@register("j22_shared_identifiers_whole", None)
+def _j22_whole(s, d):
+    a = M.load(s, d, "lineitem").select(F.col("l_suppkey").alias("left_id"), "l_orderkey").distinct()
+    b = a.select(F.col("left_id").alias("right_id"), "l_orderkey")
+    return a.join(b, "l_orderkey").where("left_id < right_id").select("left_id", "right_id").distinct()
+
+
 @register("w10_seeded_sample", "SELECT p_partkey FROM part ORDER BY sha256('seed:' || p_partkey) LIMIT 25")
 def _w10(s, d):
     return identity.seeded_sample(M.load(s, d, "part"), "p_partkey", "seed", 25).select("p_partkey")

@@ -25,3 +25,19 @@ def test_long_urls_stay_whole(spark, tmp_path):
     rest = "a.org/" + "x" * 3000
     spark.createDataFrame([(1, f"https://{rest}"), (2, f"http://{rest}"), (3, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.key: r.value for r in core.QUERIES["x07_prefix"](spark, str(tmp_path)).collect()} == {1: rest, 2: f"http://{rest}", 3: None}
+
+
+def test_shared_identifiers_of_all_lines(spark, sf):
+    orders = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
+        orders.setdefault(r.l_orderkey, set()).add(r.l_suppkey)
+    want = {(a, b) for x in orders.values() for a in x for b in x if a < b}
+    got = [tuple(r) for r in core.QUERIES["j22_shared_identifiers_whole"](spark, sf).select("left_id", "right_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_shared_identifiers_on_any_line(spark, tmp_path):
+    lines = [(1, 1, 10), (1, 2, 20), (1, 7, 30), (2, 3, 40), (2, 4, 10), (2, 5, 10), (3, 1, 50)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = core.QUERIES["j22_shared_identifiers_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.left_id, r.right_id) for r in got) == [(10, 20), (10, 30), (10, 40), (20, 30)]
