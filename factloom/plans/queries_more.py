@@ -78,6 +78,17 @@ def _k02(s, d):
     return gates.dag_violations(uses, m.select(name(F.col("s_suppkey")).alias("module"), (F.col("s_suppkey") % 5).alias("layer")))
 
 
+# k02 and its SQL check the suppliers below 50; this checks all
+@register("k02_layer_rule_whole", None)
+def _k02_whole(s, d):
+    m = M.load(s, d, "supplier")
+    n = m.agg(F.count("*").alias("n"))
+    name = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    target = F.col("s_suppkey") * 7 % F.col("n")
+    uses = m.crossJoin(F.broadcast(n)).where(target < F.col("s_suppkey")).select(name(F.col("s_suppkey")).alias("module"), name(target).alias("target"))  # one row
+    return gates.dag_violations(uses, m.select(name(F.col("s_suppkey")).alias("module"), (F.col("s_suppkey") % 5).alias("layer")))
+
+
 @register("k03_blast_radius", "+reach(child, parent) AS (SELECT child, parent FROM subordinate UNION SELECT r.child, p.parent FROM reach r JOIN subordinate p ON r.parent = p.child) SELECT parent AS term, child AS user FROM reach WHERE parent IN (2, 5)", "subordinate", True)
 def _k03(s, d):
     uses = M.subordinate(s, d).select(F.col("child").alias("module"), F.col("parent").alias("target"))

@@ -41,3 +41,12 @@ def test_shared_identifiers_on_any_line(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = core.QUERIES["j22_shared_identifiers_whole"](spark, str(tmp_path)).collect()
     assert sorted((r.left_id, r.right_id) for r in got) == [(10, 20), (10, 30), (10, 40), (20, 30)]
+
+
+def test_layer_rule_of_all_suppliers(spark, tmp_path):
+    n = 403
+    spark.range(n).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = {(f"m{i}", f"m{i * 7 % n}", "layer") for i in range(n) if i * 7 % n < i and i * 7 % n % 5 > i % 5}
+    got = [tuple(r) for r in core.QUERIES["k02_layer_rule_whole"](spark, str(tmp_path)).select("module", "target", "problem").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(int(m[1:]) for m, _, _ in got) > 350
