@@ -12,30 +12,35 @@ EDGES_PER_NODE, MAX_EDGES, MAX_NODES = 100, 2000, 500
 
 
 def hop_paths(edges: DataFrame, starts: DataFrame, max_hops: int = 1, per_node: int | None = EDGES_PER_NODE) -> DataFrame:
-    """start, hops, nodes, edge_ids of all simple paths of 1..max_hops hops from each start.
+    """start, hops, nodes, edge_ids, truncated of all simple paths of 1..max_hops hops from each start.
 
     edges: edge_id, source, target, rank (the order of a node's edges); starts: start. A node is expanded once for each start, on
     the first path that reaches it (in the order of hops, then of path ranks), but every path that reaches it is returned.
-    per_node: edges followed from one node, lowest ranks first.
+    per_node: edges followed from one node, lowest ranks first. truncated: a node that the path leaves has more edges than that.
     """
     if isinstance(max_hops, bool) or not isinstance(max_hops, int) or not 1 <= max_hops <= MAX_HOPS:
         raise ValueError(f"max_hops must be an integer from 1 to {MAX_HOPS}")
     if per_node is not None:
         nth = F.row_number().over(Window.partitionBy("source").orderBy("rank", "edge_id"))
-        edges = edges.withColumn("nth", nth).where(F.col("nth") <= per_node).drop("nth")
-    frontier = starts.select("start", F.array("start").alias("nodes"), F.array().cast("array<string>").alias("edge_ids"), F.array().cast("array<string>").alias("order"), F.col("start").alias("at"))
+        # one edge beyond per_node shows that there are more, whatever a hub's number
+        edges = edges.withColumn("nth", nth).where(F.col("nth") <= per_node + 1)
+        over = edges.where(F.col("nth") > per_node).select("source", F.lit(True).alias("over"))
+        edges = edges.where(F.col("nth") <= per_node).drop("nth").join(over, "source", "left").withColumn("over", F.coalesce("over", F.lit(False)))
+    else:
+        edges = edges.withColumn("over", F.lit(False))
+    frontier = starts.select("start", F.array("start").alias("nodes"), F.array().cast("array<string>").alias("edge_ids"), F.array().cast("array<string>").alias("order"), F.col("start").alias("at"), F.lit(False).alias("truncated"))
     expanded = starts.select("start", F.col("start").alias("at"))
     out = None
     for hops in range(1, max_hops + 1):
         reached = frontier.join(edges, frontier.at == edges.source).where(~F.array_contains("nodes", F.col("target")))
         paths = reached.select(
             "start", F.lit(hops).alias("hops"), F.concat("nodes", F.array("target")).alias("nodes"), F.concat("edge_ids", F.array(F.col("edge_id").cast("string"))).alias("edge_ids"),
-            F.concat("order", F.array(F.format_string("%020d", F.col("rank").cast("long")), F.lpad(F.col("edge_id").cast("string"), 20, "0"))).alias("order"), F.col("target").alias("at"),
+            F.concat("order", F.array(F.format_string("%020d", F.col("rank").cast("long")), F.lpad(F.col("edge_id").cast("string"), 20, "0"))).alias("order"), F.col("target").alias("at"), (F.col("truncated") | F.col("over")).alias("truncated"),
         )
         out = paths if out is None else out.union(paths)
         if hops < max_hops:
             first = F.row_number().over(Window.partitionBy("start", "at").orderBy("order"))
             fresh = paths.join(expanded, ["start", "at"], "left_anti").withColumn("nth", first).where("nth = 1")
-            frontier = fresh.select("start", "nodes", "edge_ids", "order", "at")
+            frontier = fresh.select("start", "nodes", "edge_ids", "order", "at", "truncated")
             expanded = expanded.union(frontier.select("start", "at"))
-    return out.select("start", "hops", "nodes", "edge_ids")
+    return out.select("start", "hops", "nodes", "edge_ids", "truncated")

@@ -50,3 +50,18 @@ def test_layer_rule_of_all_suppliers(spark, tmp_path):
     got = [tuple(r) for r in core.QUERIES["k02_layer_rule_whole"](spark, str(tmp_path)).select("module", "target", "problem").collect()]
     assert len(got) == len(want) and set(got) == want
     assert max(int(m[1:]) for m, _, _ in got) > 350
+
+
+def test_traversal_follows_a_page_and_tells_of_more(spark, tmp_path):
+    from factloom.operators.traverse import hop_paths
+
+    lines = [(i, 1, 1, i) for i in range(100, 207)] + [(i, 2, 2, i) for i in range(300, 320)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1000).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = core.QUERIES["q04_traverse_two_hops_page"](spark, str(tmp_path)).collect()
+    assert sum(r.start == "s1" for r in got) == 100 and sum(r.start == "s2" for r in got) == 20
+    assert all(r.truncated == (r.start == "s1") for r in got)
+    edges = spark.createDataFrame([(1, "a", "b", 1), (2, "b", "c", 1), (3, "b", "d", 2)], "edge_id long, source string, target string, rank long")
+    starts = spark.createDataFrame([("a",)], "start string")
+    for n, want in ((1, [(1, False), (2, True)]), (2, [(1, False), (2, False), (2, False)]), (None, [(1, False), (2, False), (2, False)])):
+        assert sorted((r.hops, r.truncated) for r in hop_paths(edges, starts, 2, per_node=n).collect()) == want
