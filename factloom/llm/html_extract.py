@@ -145,7 +145,10 @@ def parse(source: str) -> Page:
 
 
 def main_blocks(page: Page, low: set | None = None, key=None) -> list[str]:
-    """The blocks that stay. low: keys of style nodes of low importance; a block goes if its node or one above is low."""
+    """The blocks that stay. low: keys of style nodes of low importance; a block outside content goes if its node or one above is low.
+
+    Text within an article or main element stays: what many pages of a site share may be one article in copies.
+    """
     kept = [b for b in page.blocks if not b[1]]
     if low:
         seen: dict[str, bool] = {}
@@ -155,7 +158,7 @@ def main_blocks(page: Page, low: set | None = None, key=None) -> list[str]:
                 seen[path] = bool(path) and (key(path) in low or is_low(path.rpartition("/")[0]))
             return seen[path]
 
-        kept = [b for b in kept if not is_low(b[0])] or kept  # never the whole page
+        kept = [b for b in kept if b[2] or not is_low(b[0])] or kept  # never the whole page
     inside = [b for b in kept if b[2]]
     return [b[3] for b in (inside or kept)]
 
@@ -218,7 +221,7 @@ def extract(
 
     Removed are branches that markup names (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
     comments), and branches whose importance in the host's style tree is under `threshold`, where at least `min_pages` pages show
-    the node (fewer say nothing about a site). If an article or main element with text is left, only text within such counts.
+    the node (fewer say nothing about a site) and it is not within an article or main element. If an article or main element with text is left, only text within such counts.
     Null html, and pages without text, give an empty text; a null url, or one without host, belongs to the host "". Repeated rows
     give repeated results (and weigh twice in the tree). Texts are whole, whatever their length.
 

@@ -290,3 +290,10 @@ def test_blocked_hosts_and_their_link_farm(spark):
     assert got[1].tainted == 1 and got[1].trust > 1 and got[1].distrust < 0.5
     a = 0.425 / (1 - 0.425 * 0.85)
     assert abs(got[10].tainted - 0.85) < 1e-9 and abs(got[20].tainted - 0.85**2) < 1e-9 and abs(got[23].tainted - a) < 1e-3 and abs(got[24].tainted - 0.85 * a) < 1e-3
+
+
+def test_copied_articles_keep_their_text(spark):
+    body = "<p>The same story</p><p>in every copy</p>"
+    page = lambda i: f"<div class=x1><p>All rights of the publisher</p></div><article><h1>Title {i}</h1>{body}</article><div class=x2><p>Call us</p></div>"
+    frame = spark.createDataFrame([(i, f"http://copies.org/{i}", page(i)) for i in range(30)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract(frame).collect()} == {i: f"Title {i}\n\nThe same story\n\nin every copy" for i in range(30)}
