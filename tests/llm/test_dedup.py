@@ -164,3 +164,16 @@ def test_interval_pairs():
     gap = np.maximum(0, np.maximum(lo[:, None] - hi[None], lo[None] - hi[:, None]))
     want = {(i, j) for i, j in np.argwhere((gap**2).sum(axis=2) <= 0.25).tolist() if i <= j}
     assert set(interval_pairs(lo, hi, 0.5)) == want and interval_pairs(lo[:0], hi[:0], 0.5) == []
+
+
+def test_pair_belongs_to_the_first_band_that_its_buckets_share():
+    """An earlier band whose coordinates agree in their low 16 bits alone is not shared."""
+    import pyarrow as pa
+
+    from factloom.llm.near_dedup import ROWS, _needed
+
+    sketch = np.arange(24 * ROWS, dtype=np.uint16).tobytes()
+    own = [list(range(24)), [-1, -2, -3, *range(3, 24)]]  # bands 0 to 2 differ in upper bits
+    for bi, want in ((0, 0), (3, 2), (4, 0)):
+        group = pa.table({"band": [own[0][bi]] * 2, "bi": [bi] * 2, "g1": [0] * 2, "g2": [0] * 2, "id": [1, 2], "component": [1, 2], "block": [0, 0], "sketch": [sketch] * 2, "bands": own})
+        assert _needed(24, 80, 100)(group).num_rows == want
