@@ -11,8 +11,6 @@ from .common import written
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Hosts, with all subdomains, from which distrust starts besides those that the rules block.
-BLOCKED_HOSTS = ("spam-farm.example.org", "spam-farm.example.net", "cheap-pills.example.org", "cheap-pills.example.net")
 
 
 def _lower(c: Column) -> Column:
@@ -40,93 +38,117 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
-def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst, links: absolute links between different hosts, counted; links within a host carry no judgement of another."""
+def _parsed(url: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
+    """struct(host, path, rule, verdict, site): a host's pages that a rule judges are a site of their own, apart from its other pages."""
+    host, path = host_of(url), path_of(url)
+    judged = rule_of(host, path, rules)
+    site = F.concat(host, F.lit(" "), F.coalesce(judged["verdict"], F.lit("")))
+    return F.struct(host.alias("host"), path.alias("path"), judged["rule"].alias("rule"), judged["verdict"].alias("verdict"), site.alias("site"))
+
+
+def site_edges(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """src, dst (struct host, verdict, site), links: absolute links between different hosts, counted; links within a host carry no judgement of another."""
     link = F.explode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"), F.lit(1)))
-    links = pages.select(host_of(F.col(url_col)).alias("src"), link.alias("to"))
-    links = links.withColumn("dst", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))))
-    return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
+    to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))
+    end = lambda c: F.struct(c["host"].alias("host"), c["verdict"].alias("verdict"), c["site"].alias("site"))
+    links = pages.select(F.col(url_col).alias("url"), link.alias("to")).select(end(_parsed(F.col("url"), rules)).alias("src"), end(_parsed(to, rules)).alias("dst"))
+    return links.where("src.host <> '' and dst.host <> '' and src.host <> dst.host").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, steps: int, tolerance: float) -> DataFrame:
-    """host, rank: rank = (1-damping) * seed + damping * what neighbours pass on, in proportion to links.
+def listed(hosts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """host, listed: the verdict in seeds (host, verdict) of the longest host that it equals or lies under; block, where both are given.
 
-    A host without out-edges keeps its own rank. seeds: host, seed in [0, 1], one row per host of the graph.
-    The ranks are written to the shared folder every round, so a lost executor costs one round at most.
+    hosts: host, distinct. A host of more than 253 characters is no name and has no parents. Hosts that nothing lists are left out.
     """
-    out = edges.groupBy("src").agg(F.sum("links").alias("total"))
-    share = written(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("part")), "edges")
-    ends = share.select(F.col("src").alias("host")).distinct().withColumn("passes", F.lit(True))
-    base = written(seeds.join(ends, "host", "left").select("host", "seed", F.coalesce("passes", F.lit(False)).alias("passes")), "seeds")
-    rank = base.select("host", F.col("seed").alias("rank"))
-    for _ in range(steps):
-        got = share.join(rank, share.src == rank.host).groupBy("dst").agg(F.sum(F.col("part") * F.col("rank")).alias("got"))
-        new = base.join(got, base.host == got.dst, "left").join(rank.withColumnRenamed("rank", "old"), "host")
-        new = new.select("host", "old", ((1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + F.when(F.col("passes"), 0.0).otherwise(F.col("old")))).alias("rank"))
-        new = written(new, "rank")
-        moved = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        rank = new.select("host", "rank")
-        if moved is None or moved <= tolerance:
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = hosts.select("host", F.posexplode(F.when(F.length("host") <= 253, parents).otherwise(F.array("host"))).alias("skip", "parent"))
+    named = seeds.select(_lower(F.col("host")).alias("parent"), F.col("verdict").alias("listed"))
+    return each.join(named, "parent").groupBy("host").agg(F.min_by("listed", F.struct("skip", F.col("listed") != "block")).alias("listed"))
+
+
+def trust_ranks(sites: DataFrame, share: DataFrame, damping: float, steps: int, tolerance: float) -> DataFrame:
+    """site, trust: personalised PageRank with restarts at the trusted sites, in units of a seed (the sum is their number).
+
+    rank = (1 - damping) * seed + damping * (what linking sites pass on, by their share of links); what sites without links
+    hold returns to the seeds. sites: site, trusted; share: src, dst, part. Each round is a table in the shared folder, so a
+    lost executor costs one round at most.
+    """
+    ends = share.select(F.col("src").alias("site")).distinct().withColumn("passes", F.lit(True))
+    base = written(sites.join(ends, "site", "left").select("site", F.col("trusted").cast("double").alias("seed"), F.coalesce("passes", F.lit(False)).alias("passes")), "seeds")
+    held = F.sum(F.when(F.col("passes"), 0.0).otherwise(F.col("rank")))
+    rank = base.select("site", "passes", F.col("seed").alias("rank"))
+    total, lost = rank.agg(F.sum("rank"), held).first()
+    for _ in range(steps if total else 0):
+        got = share.join(rank.select(F.col("site").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("part") * F.col("rank")).alias("got"))
+        new = base.join(got, base.site == got.dst, "left").join(rank.select("site", F.col("rank").alias("old")), "site")
+        new = new.select("site", "passes", "old", (F.col("seed") * (1 - damping + damping * lost / total) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        new = written(new, "trust")
+        moved, lost = new.agg(F.max(F.abs(F.col("rank") - F.col("old"))), held).first()
+        rank = new.select("site", "passes", "rank")
+        if moved <= tolerance:
             break
-    return rank
+    return rank.select("site", F.col("rank").alias("trust"))
 
 
-def tainted_links(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
-    """host, tainted: the larger of its seed and damping * the mean of `tainted` over its out-links.
+def distrust_ranks(sites: DataFrame, share: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """site, distrust: 1 for blocked sites, 0 for trusted ones, else damping * the mean distrust of what the site links to, by links.
 
-    Unlike a rank, it does not fall with the number of hosts that link to the same one, and no seed host ends below its seed.
-    Rounds only raise it, and each moves it by `damping` times the last at most, so they end at any tolerance above 0.
+    That is the personalised PageRank that blocked seeds receive from a walk that starts at the site, found by passing distrust
+    against the links: the damped chance that the walk ends up at a blocked site. It does not fall with the number
+    of sites that link to the same one. Rounds only raise it, and each moves it by `damping` times the last at most, so they end.
     """
-    out = edges.groupBy("src").agg(F.sum("links").alias("total"))
-    share = written(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("part")), "shares")
-    now = seeds.select("host", "seed", F.col("seed").alias("tainted"))
+    now = sites.select("site", "trusted", F.col("blocked").cast("double").alias("distrust"))
+    free = share.join(sites.where("not trusted and not blocked").select(F.col("site").alias("src")), "src", "left_semi")
+    free = written(free, "free")
     while True:
-        got = share.join(now.where("tainted > 0"), share.dst == now.host).groupBy("src").agg(F.sum(F.col("part") * F.col("tainted")).alias("got"))
-        new = now.withColumnRenamed("tainted", "old").join(got, F.col("host") == got.src, "left")
-        new = written(new.select("host", "seed", "old", F.greatest("seed", damping * F.coalesce("got", F.lit(0.0))).alias("tainted")), "tainted")
-        moved = new.agg(F.max(F.abs(F.col("tainted") - F.col("old")))).first()[0]
-        now = new.select("host", "seed", "tainted")
+        got = free.join(now.where("distrust > 0").select(F.col("site").alias("dst"), "distrust"), "dst").groupBy("src").agg(F.sum(F.col("part") * F.col("distrust")).alias("got"))
+        new = now.withColumnRenamed("distrust", "old").join(got, F.col("site") == got.src, "left")
+        new = written(new.select("site", "trusted", "old", F.greatest("old", damping * F.coalesce("got", F.lit(0.0))).alias("distrust")), "distrust")
+        moved = new.agg(F.max(F.col("distrust") - F.col("old"))).first()[0]
+        now = new.select("site", "trusted", "distrust")
         if moved is None or moved <= tolerance:
-            return now.select("host", "tainted")
+            return now.select("site", "distrust")
 
 
 def url_verdicts(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
-    blocked_hosts: Sequence[str] = BLOCKED_HOSTS,
+    seeds: DataFrame | None = None,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
     damping: float = 0.85,
-    steps: int = 20,
-    tolerance: float = 1e-4,
+    steps: int = 30,
+    tolerance: float = 1e-3,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, trust, distrust, tainted.
-
-    A host's trust seed is the part of its pages that rules allow; its distrust seed the part that they block, or 1 if it is
-    among blocked_hosts. Trust flows along links, distrust against them. Where no rule fits, a page is blocked if its host is among
-    blocked_hosts, or if `tainted`, the damped share of the host's links that lead to distrusted hosts, or its distrust seed, is at
-    least `threshold` and above its trust; a host that nothing speaks against is allowed. distrust, a rank, is divided among
-    all that link to a host, so it orders hosts and decides nothing. A null url, or one
-    without "://", has empty host and path, fits no rule and is allowed. Null html has no links. Repeated pages are judged alike.
+    """One row per page: id, host, path, rule, verdict, trust, distrust.
+
+    Nodes of the link graph are hosts; the pages of a host that a rule allows or blocks are a node apart, so that a rule on
+    one path says nothing about the host's other pages. Trusted and blocked seeds are the nodes that rules judge, and the
+    hosts, with their subdomains, that `seeds` (host, verdict; any size, the longest host wins) lists. Trust is a personalised PageRank along
+    links, distrust flows from blocked seeds against them. A page has the verdict of its rule; else that of its host in seeds;
+    else it is blocked if its host's distrust is at least `threshold` and above its trust. A host that nothing speaks against is allowed.
+
+    A null url, or one without "://", has empty host and path, fits no rule and is allowed. Null html has no links. Repeated
+    pages are judged alike, and their links count as often.
     """
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    judged = parsed.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    listed = F.lit(False)
-    for h in blocked_hosts:
-        listed = listed | _under(F.col("host"), h)
-    part = lambda v: F.avg(F.when(F.col("r.verdict") == v, 1.0).otherwise(0.0))
-    own = judged.where("host <> ''").groupBy("host").agg(part("allow").alias("trusted"), part("block").alias("blocked")).withColumn("blocked", F.when(listed, 1.0).otherwise(F.col("blocked")))
-    edges = written(host_edges(pages, url_col, html_col), "links")
-    seen = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
-    hosts = written(seen.join(own, "host", "full_outer").select("host", F.coalesce("trusted", F.lit(0.0)).alias("trusted"), F.coalesce("blocked", F.when(listed, 1.0).otherwise(0.0)).alias("blocked")), "hosts")
-    trust = propagate(hosts.select("host", F.col("trusted").alias("seed")), edges, damping, steps, tolerance)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = propagate(hosts.select("host", F.col("blocked").alias("seed")), back, damping, steps, tolerance)
-    tainted = tainted_links(hosts.select("host", F.col("blocked").alias("seed")), edges, damping, tolerance)
-    ranks = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host").join(tainted, "host")
-    out = judged.join(ranks, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust", "tainted")})
-    bad = listed | ((F.col("tainted") >= threshold) & (F.col("tainted") > F.col("trust")))
-    return out.select(id_col, "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust", "tainted")
+    parsed = pages.select(F.col(id_col), _parsed(F.col(url_col), rules).alias("p")).select(id_col, "p.*")
+    edges = written(site_edges(pages, rules, url_col, html_col), "links")
+    ends = parsed.select("host", "verdict", "site").union(edges.select("src.*")).union(edges.select("dst.*"))
+    sites = ends.where("host <> ''").distinct()
+    if seeds is None:
+        sites = sites.withColumn("listed", F.lit(None).cast("string"))
+    else:
+        sites = sites.join(listed(sites.select("host").distinct(), seeds), "host", "left")
+    fixed = F.coalesce("verdict", "listed")
+    sites = written(sites.select("site", "listed", F.coalesce(fixed == "allow", F.lit(False)).alias("trusted"), F.coalesce(fixed == "block", F.lit(False)).alias("blocked")), "sites")
+    out = edges.groupBy("src.site").agg(F.sum("links").alias("total")).withColumnRenamed("site", "src")
+    share = edges.select(F.col("src.site").alias("src"), F.col("dst.site").alias("dst"), "links").join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("part"))
+    share = written(share, "shares")
+    ranks = trust_ranks(sites, share, damping, steps, tolerance).join(distrust_ranks(sites, share, damping, tolerance), "site").join(sites.select("site", "listed"), "site")
+    none = F.lit(0.0)
+    judged = parsed.join(ranks, "site", "left").withColumns({"trust": F.coalesce("trust", none), "distrust": F.coalesce("distrust", none)})
+    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    return judged.select(id_col, "host", "path", "rule", F.coalesce("verdict", "listed", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

@@ -112,33 +112,89 @@ def test_urls(spark):
     assert url_verdicts(pages.limit(0)).count() == 0
 
 
+def plain_verdicts(pages, rules, seeds, damping=0.85, steps=200, threshold=0.5):
+    """verdict of each url by loops over dicts; pages: (id, url, hosts and paths it links to)."""
+
+    def split(url):
+        host, _, rest = url.partition("://")[2].partition("/")
+        return host.lower(), "/" + rest
+
+    def under(host, h):
+        return host == h or host.endswith("." + h)
+
+    def rule(host, path):
+        fits = [r for r in rules if under(host, r[0]) and path.startswith(r[1])]
+        return max(fits, key=lambda r: len(r[0] + r[1]), default=(None, None, None))[2]
+
+    def site(url):
+        host, path = split(url)
+        return host, rule(host, path)
+
+    links = {}
+    nodes = {site(u) for _, u, _ in pages}
+    for _, u, to in pages:
+        for x in to:
+            a, b = site(u), site("http://" + x)
+            if a[0] != b[0]:
+                nodes |= {a, b}
+                links.setdefault(a, {}).setdefault(b, 0)
+                links[a][b] += 1
+    named = lambda host: max(((len(h), v == "block", v) for h, v in seeds if under(host, h)), default=(0, 0, None))[2]
+    fixed = {n: n[1] or named(n[0]) for n in nodes}
+    seed = {n: float(fixed[n] == "allow") for n in nodes}
+    trust, distrust = dict(seed), {n: float(fixed[n] == "block") for n in nodes}
+    for _ in range(steps):
+        lost = sum(r for n, r in trust.items() if n not in links) / (sum(seed.values()) or 1)
+        got = dict.fromkeys(nodes, 0.0)
+        for a, to in links.items():
+            for b, n in to.items():
+                got[b] += trust[a] * n / sum(to.values())
+        trust = {n: (0.15 + damping * lost) * seed[n] + damping * got[n] for n in nodes}
+        distrust = {n: distrust[n] if fixed[n] or n not in links else damping * sum(distrust[b] * k for b, k in links[n].items()) / sum(links[n].values()) for n in nodes}
+    return {i: fixed[site(u)] or ("block" if threshold <= distrust[site(u)] > trust[site(u)] else "allow") for i, u, _ in pages}, {i: (trust[site(u)], distrust[site(u)]) for i, u, _ in pages}
+
+
+def as_pages(spark, pages):
+    html = lambda to: "".join(f'<a href="http://{x}">x</a><a href="/own">y</a>' for x in to)
+    return spark.createDataFrame([(i, u, html(to)) for i, u, to in pages], "page_id long, url string, html string")
+
+
 def test_link_graph(spark):
-    link = lambda *hosts: "".join(f'<a href="http://{h}/p">x</a>' for h in hosts)
-    pages = [(1, "http://spam-farm.example.org/", None), (2, "http://friend.org/", link("spam-farm.example.org")), (3, "http://good.com/", link("fine.org", "sub.fine.org")), (4, "http://fine.org/", link("good.com")), (5, "http://far.org/", link("friend.org", "fine.org", "friend.org"))]
-    got = {r.page_id: r for r in url_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string"), steps=60, tolerance=1e-9).collect()}
-    hosts = ["spam-farm.example.org", "friend.org", "good.com", "fine.org", "far.org", "sub.fine.org"]
-    out = {"friend.org": {"spam-farm.example.org": 1}, "good.com": {"fine.org": 1, "sub.fine.org": 1}, "fine.org": {"good.com": 1}, "far.org": {"friend.org": 2, "fine.org": 1}}
-
-    def ranked(seed, edges):
-        r = dict(seed)
-        for _ in range(60):
-            got = dict.fromkeys(hosts, 0.0)
-            for a, to in edges.items():
-                for b, n in to.items():
-                    got[b] += n / sum(to.values()) * r[a]
-            r = {h: 0.15 * seed[h] + 0.85 * (got[h] + (0 if h in edges else r[h])) for h in hosts}
-        return r
-
-    back = {}
-    for a, to in out.items():
-        for b, n in to.items():
-            back.setdefault(b, {})[a] = n
-    trust = ranked({h: float(h == "good.com") for h in hosts}, out)
-    distrust = ranked({h: float(h.startswith("spam")) for h in hosts}, back)
-    for i, h in enumerate(hosts[:5], 1):
-        assert abs(got[i].trust - trust[h]) < 1e-6 and abs(got[i].distrust - distrust[h]) < 1e-6
-    assert got[4].verdict == "allow" and got[1].verdict == "block" if distrust[hosts[0]] >= 0.5 else True
-    assert url_filter.host_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).count() == 6
+    """A blocked host that others link to, its link farm, and hosts that only touch it."""
+    spam = "spam.org/p"
+    pages = [
+        (1, "http://www.spam.org/", ["half.org/"]),
+        *((10 + i, f"http://farm{i}.org/", [spam]) for i in range(5)),
+        (20, "http://behind.org/", [f"farm{i}.org/" for i in range(5)]),
+        (21, "http://half.org/", [spam, *["fine.org/"] * 4]),
+        (22, "http://fine.org/", ["half.org/"]),
+        (23, "http://a.org/", [spam, "b.org/"]),
+        (24, "http://b.org/", ["a.org/", spam]),
+        *((30 + i, f"http://good{i}.com/", [spam]) for i in range(9)),  # a popular blocked host has trusted links
+        (50, "http://x.net/fr/1", []),  # a rule on a path says nothing about the host
+        (51, "http://x.net/de/1", []),
+        (52, "http://to.org/1", ["x.net/fr/2"]),
+        (53, "http://notspam.org/", []),
+        (54, "http://ok.spam.org/", []),
+    ]
+    seeds = [("spam.org", "block"), ("OK.spam.org", "allow")]
+    got = {r.page_id: r for r in url_verdicts(as_pages(spark, pages), seeds=spark.createDataFrame(seeds, "host string, verdict string")).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, *range(10, 15), 20, 23, 24, 50, 52}
+    want, ranks = plain_verdicts(pages, url_filter.RULES, [(h.lower(), v) for h, v in seeds])
+    assert {i: r.verdict for i, r in got.items()} == want
+    assert all(abs(got[i].trust - t) < 2e-2 and abs(got[i].distrust - d) < 1e-2 for i, (t, d) in ranks.items())
+
+
+def test_random_link_graph(spark):
+    rng = np.random.default_rng(12)
+    hosts = [f"h{i}.org" for i in range(30)] + [f"c{i}.com" for i in range(4)] + [f"n{i}.net" for i in range(10)]
+    urls = [f"{h}/{p}/" for h in hosts for p in ("fr", "de")]
+    pages = [(i, "http://" + u, [urls[j] for j in rng.choice(len(urls), rng.integers(0, 4))]) for i, u in enumerate(urls)]
+    got = {r.page_id: r for r in url_verdicts(as_pages(spark, pages), tolerance=1e-4, threshold=0.2).collect()}
+    want, ranks = plain_verdicts(pages, url_filter.RULES, [], threshold=0.2)
+    assert {i: r.verdict for i, r in got.items()} == want and len({v for v in want.values()}) == 2
+    assert all(abs(got[i].trust - t) < 2e-3 and abs(got[i].distrust - d) < 1e-3 for i, (t, d) in ranks.items())
+    assert any(v == "block" and not urls[i].endswith("fr/") for i, v in want.items())
 
 
 PAGE = """<html><head><title>T &amp; x</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>
@@ -272,26 +328,6 @@ def test_scores_with_grown_filters_are_those_of_exact_counts(docs, texts):
     assert off / n < 0.01
 
 
-def test_blocked_hosts_and_their_link_farm(spark):
-    link = lambda *hosts: "".join(f'<a href="http://{h}/p">x</a>' for h in hosts)
-    spam = "spam-farm.example.org"
-    pages = [
-        (1, f"http://{spam}/", link("half.org")),
-        *((10 + i, f"http://farm{i}.org/", link(spam)) for i in range(5)),
-        (20, "http://behind.org/", link(*(f"farm{i}.org" for i in range(5)))),
-        (21, "http://half.org/", link(spam, "fine.org", "fine.org")),
-        (22, "http://fine.org/", link("half.org")),
-        (23, "http://a.org/", link(spam, "b.org")),
-        (24, "http://b.org/", link("a.org")),
-        *((30 + i, f"http://good{i}.com/", link(spam)) for i in range(9)),  # a popular blocked host has trusted links
-    ]
-    got = {r.page_id: r for r in url_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 10, 11, 12, 13, 14, 20, 23, 24}
-    assert got[1].tainted == 1 and got[1].trust > 1 and got[1].distrust < 0.5
-    a = 0.425 / (1 - 0.425 * 0.85)
-    assert abs(got[10].tainted - 0.85) < 1e-9 and abs(got[20].tainted - 0.85**2) < 1e-9 and abs(got[23].tainted - a) < 1e-3 and abs(got[24].tainted - 0.85 * a) < 1e-3
-
-
 def test_copied_articles_keep_their_text(spark):
     body = "<p>The same story</p><p>in every copy</p>"
     page = lambda i: f"<div class=x1><p>All rights of the publisher</p></div><article><h1>Title {i}</h1>{body}</article><div class=x2><p>Call us</p></div>"
