@@ -136,7 +136,8 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
             turn, slot = np.divmod(rank - low, each)
             yield pa.record_batch([*(b.column(k) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(first + turn), pa.array(offset + slot * length)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # `before` grows with the tasks, so it is never broadcast
+    ranked = pieces.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     out = ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("doc_id", id_col)
 
