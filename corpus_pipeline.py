@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm.common import table, written
+from factloom.llm.common import table, text_hash, written
 from factloom.llm.exact_dedup import exact_dedup
 from factloom.llm.near_dedup import near_dedup
 from factloom.llm.packing import pack
@@ -17,19 +18,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows whose verdict is to stay: those that go are fewer, so they alone are joined. A row without id is named by no verdict and stays."""
-    gone = verdicts.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows whose verdict is to stay. Verdicts name a row by id and text, so rows that share an id, or lack one, are told apart.
+
+    Those that go are fewer than those that stay, so they alone are joined.
+    """
+    gone = verdicts.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_hash(docs["text"]) == gone["gone_text"])
+    return docs.join(gone, same, "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays."""
-    return _kept(docs, exact_dedup(docs))
+    return _kept(docs, exact_dedup(docs, hashed=True))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8 or more on five-word shingles) stays."""
-    return _kept(docs, near_dedup(docs, num=80, den=100))
+    return _kept(docs, near_dedup(docs, num=80, den=100, hashed=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

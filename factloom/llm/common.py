@@ -20,9 +20,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run on one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -49,6 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows of one id apart by their text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def crc32_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id as decimal text, modulo mod; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod).cast("int")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_hash
+
 #: A run of white space that is not one space already.
 _RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 _CLASS = pa.schema([("text_sha256", pa.string()), ("content", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -141,13 +143,14 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return local.repartition("text_sha256").mapInArrow(_grace(table_bytes, fanout), cols).drop("content")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 96 << 20, fanout: int = 16) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 96 << 20, fanout: int = 16, hashed: bool = False) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256; with `hashed` also text_hash, which tells rows of one id apart.
 
     Null text counts as empty. A null id never wins over another id; keep_id is null only if no row of the group has an id,
     and then all its rows are kept. Rows that repeat both id and text are one document: all are kept or none.
     An empty table gives an empty result; other columns of docs are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.sha2(normalised(text_col), 256).alias("text_sha256"))
+    extra = [text_hash(F.col(text_col)).alias("text_hash")] if hashed else []
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.sha2(normalised(text_col), 256).alias("text_sha256"), *extra)
     classes = exact_classes(docs, id_col, text_col, table_bytes, fanout)
-    return rows.join(classes, "text_sha256").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.join(classes, "text_sha256").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *(["text_hash"] if hashed else []))

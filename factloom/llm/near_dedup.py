@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, binaries, mix, slices, written
+from .common import LOWER, Words, binaries, mix, slices, text_hash, written
 from .graph import components
 
 ROWS = 4  # sketch coordinates in a band
@@ -69,6 +69,12 @@ def sketches(sets: np.ndarray, ends: np.ndarray, coordinates: int) -> np.ndarray
     return out
 
 
+def digests(sets: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """128 bits of each set."""
+    image = memoryview(np.ascontiguousarray(sets)).cast("B")
+    return [xxhash.xxh3_128_digest(image[8 * a : 8 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def _signatures(width: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,27 +86,25 @@ def _signatures(width: int, bands: int):
                     for r in range(ROWS):
                         band = mix(band * _ODD + sketch[:, r::ROWS])
                     band = mix(band + np.arange(bands, dtype=np.uint64) * _ODD).view(np.int64)
-                image = memoryview(np.ascontiguousarray(sets)).cast("B")
-                digest = [xxhash.xxh3_128_digest(image[8 * a : 8 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                digest = digests(sets, ends)
                 low = (sketch & np.uint64(0xFFFF)).astype(np.uint16)
                 size = bands * ROWS * np.arange(len(sketch) + 1)
-                yield pa.record_batch([part.column("id"), pa.array(np.diff(ends)), pa.array(digest, pa.binary()), binaries(low.reshape(-1), size), pa.ListArray.from_arrays(pa.array((np.arange(len(sketch) + 1) * bands).astype(np.int32)), pa.array(band.reshape(-1)))], names=["id", "n_shingles", "digest", "sketch", "bands"])
+                yield pa.record_batch([part.column("id"), part.column("tag"), pa.array(np.diff(ends)), pa.array(digest, pa.binary()), binaries(low.reshape(-1), size), pa.ListArray.from_arrays(pa.array((np.arange(len(sketch) + 1) * bands).astype(np.int32)), pa.array(band.reshape(-1)))], names=["id", "tag", "n_shingles", "digest", "sketch", "bands"])
 
     return run
 
 
 def _sets(width: int, chosen: np.ndarray):
-    """id, set array<long> of the rows whose id falls on a set bit of `chosen`."""
+    """digest, set array<long> of the rows whose key falls on a set bit of `chosen`."""
     bits = np.uint64(len(chosen) * 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            at = _slot(ids, bits)
+            at = _slot(batch.column("key").to_numpy(), bits)
             batch = batch.filter(pa.array((chosen[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
             for part in slices(batch, "text"):
                 sets, ends = shingle_sets(part.column("text"), width)
-                yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["id", "set"])
+                yield pa.record_batch([pa.array(digests(sets, ends), pa.binary()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["digest", "set"])
 
     return run
 
@@ -206,48 +210,68 @@ def _spanning(num: int, den: int, chunk: int = 4096):
     return run
 
 
-def _mixed(buckets: DataFrame, comps: DataFrame, sizes: DataFrame, block: int) -> DataFrame | None:
-    """Members of buckets that hold more than one component, dealt out so that any two meet in a group; None if there are none.
+def _dealt(buckets: DataFrame, comps: DataFrame, sizes: DataFrame, block: int) -> DataFrame | None:
+    """Members of buckets that hold more than one component, dealt out so that any two of different components meet in a group; None if there are none.
 
-    A bucket of more than `block` members, or whose sets are large, is cut into blocks, and a group is a pair of blocks.
+    A group is a pair of blocks. A component that fills half a block or more in its bucket has blocks of its own, which
+    meet all blocks but each other; the small components share blocks. So members of one large component, such as
+    copies with a few changes, are not dealt to each other: their rows grow with their number, not its square.
     """
     marked = buckets.join(comps, buckets.id == comps.node, "left").select("band", "bi", "id", F.coalesce("component", "id").alias("component"))
     marked = written(marked.join(sizes, "id"), "marked")
-    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / (block * 2000))).cast("int")
-    wide = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), parts.alias("blocks")).where("lo <> hi").select("band", "blocks")
-    wide = written(wide, "wide")
-    if wide.isEmpty():
+    load = F.greatest(F.count("*") / block, F.sum("n_shingles") / (block * 2000))
+    parts = marked.groupBy("band", "component").agg(load.alias("load"))
+    several = parts.groupBy("band").agg(F.count("*").alias("n"), F.ceil(F.sum(F.when(F.col("load") < 0.5, F.col("load")).otherwise(0.0))).cast("int").alias("small")).where("n > 1").select("band", "small")
+    several = written(several, "several")
+    if several.isEmpty():
         return None
-    rows = marked.join(wide, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a row goes to the pairs that its block is in
+    parts = parts.join(several, "band")
+    # large components in order: the first block of each, after the blocks that the small ones share
+    large = parts.where("load >= 0.5").withColumn("own", F.ceil("load").cast("int"))
+    before = Window.partitionBy("band").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = large.select("band", "component", "own", (F.col("small") + F.coalesce(F.sum("own").over(before), F.lit(0))).cast("int").alias("first"))
+    large = written(large, "large")
+    total = several.join(large.groupBy("band").agg(F.sum("own").alias("more")), "band", "left").select("band", "small", (F.col("small") + F.coalesce("more", F.lit(0))).cast("int").alias("blocks"))
+    rows = marked.join(total, "band").join(large, ["band", "component"], "left")
+    # a small component stays together
+    rows = rows.withColumn("block", F.when(F.col("own").isNull(), F.pmod(F.xxhash64("component"), F.col("small"))).otherwise(F.col("first") + F.pmod(F.xxhash64("id"), F.col("own"))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return rows.select("band", "bi", "id", "component", "block", other).select("band", "bi", "id", "component", "block", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"))
+    rows = rows.select("band", "bi", "id", "component", "block", "first", "own", other)
+    rows = rows.where("own is null or other < first or other >= first + own")
+    return rows.select("band", "bi", "id", "component", "block", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"))
 
 
 def near_classes(docs: DataFrame, num: int, den: int, width: int, bands: int, block: int, log2_bits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, n_shingles, digest) of every row, and (digest, component) of every distinct non-empty set."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = written(rows.mapInArrow(_signatures(width, bands), "id long, n_shingles long, digest binary, sketch binary, bands array<long>"), "signatures")
-    # one node for each distinct set; copies are never paired
-    nodes = signed.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
-    buckets = nodes.select(F.posexplode("bands").alias("bi", "band"), "id")
+    """(id, text_hash, n_shingles, digest) of every row, and (digest, component) of every distinct non-empty set."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text).alias("tag"), text.alias("text"))
+    signed = written(rows.mapInArrow(_signatures(width, bands), "id long, tag long, n_shingles long, digest binary, sketch binary, bands array<long>"), "signatures")
+    # one node for each distinct set; copies are never paired. Nodes have numbers of their own, as ids may be missing or repeated
+    key = F.xxhash64("id", "tag")
+    nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("name"), F.min(key).alias("key"), *(F.first(k).alias(k) for k in ("n_shingles", "sketch", "bands")))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    buckets = nodes.select(F.posexplode("bands").alias("bi", "band"), "id", "key")
     pivots = buckets.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("band", "pivot")
     pivots = written(pivots, "pivots")  # a plain table on this side lets adaptive execution split a hot bucket
     shared = written(buckets.join(pivots, "band"), "buckets")  # only buckets of two sets or more
-    chosen = _bitmap(shared.select("id"), log2_bits)
-    sets = written(rows.where("id is not null").mapInArrow(_sets(width, chosen), "id long, set array<long>").where("size(set) > 0").dropDuplicates(["id", "set"]), "sets")
+    chosen = _bitmap(shared.select("key"), log2_bits)
+    sets = rows.select(key.alias("key"), "text").mapInArrow(_sets(width, chosen), "digest binary, set array<long>").where("size(set) > 0").dropDuplicates(["digest"])
+    sets = written(sets.join(nodes.select("digest", "id"), "digest").select("id", "set"), "sets")
     stars = written(_verified(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets, num, den), "stars")
     comps = components(stars)
     # what no star joined: the members of a bucket that are still apart are compared with each other, in groups
-    mixed = _mixed(shared.select("band", "bi", "id"), comps, nodes.select("id", "n_shingles"), block)
-    if mixed is not None:
-        need = mixed.join(nodes.select("id", "sketch", "bands"), "id").groupBy("band", "g1", "g2").applyInArrow(_needed(bands, num, den), "band long, g1 int, g2 int, id long, component long")
+    dealt = _dealt(shared.select("band", "bi", "id"), comps, nodes.select("id", "n_shingles"), block)
+    if dealt is not None:
+        need = dealt.join(nodes.select("id", "sketch", "bands"), "id").groupBy("band", "g1", "g2").applyInArrow(_needed(bands, num, den), "band long, g1 int, g2 int, id long, component long")
         need = written(need, "need")
         more = need.join(sets, "id").groupBy("band", "g1", "g2").applyInArrow(_spanning(num, den), "a long, b long")
         comps = components(written(stars.union(more), "all"))
-    found = nodes.select("id", "digest").join(comps, nodes.id == comps.node, "left").select("digest", F.coalesce("component", "id").alias("component"))
-    return signed.select("id", "n_shingles", "digest"), found
+    # a component is named by the smallest id in it
+    named = written(comps.join(nodes.select("id", "name"), comps.node == nodes.id).select("node", "component", "name"), "named")
+    low = named.groupBy("component").agg(F.min("name").alias("low"))
+    named = named.join(low, "component").select("node", "low")
+    found = nodes.join(named, nodes.id == named.node, "left").select("digest", F.coalesce("low", "name").alias("component"))
+    return signed.select("id", F.col("tag").alias("text_hash"), "n_shingles", "digest"), found
 
 
 def near_dedup(
@@ -256,24 +280,26 @@ def near_dedup(
     den: int = 100,
     width: int = 5,
     bands: int = 24,
-    block: int = 500,
+    block: int = 256,
     log2_bits: int = 23,
     id_col: str = "doc_id",
     text_col: str = "text",
+    hashed: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+    """One row per input row: id, n_shingles, component_id, kept; with `hashed` also text_hash, which tells rows of one id apart.
 
     Texts are linked if den * |A and B| >= num * |A or B| for their sets of `width`-word shingles (A-Z lower-cased; words
-    [^\\x20\\x09-\\x0D]+; fewer words: one shingle of all). component_id is the smallest id reachable. Every candidate of the
-    banding is decided on the full sets: at a similarity of 0.8 a pair shares no band with a chance of 3e-6, at 0.85 of 1e-8. Pairs that
-    no star joined pass an estimate of 4.5 standard deviations below the threshold first, which loses a pair at the threshold
-    with a chance of about 3e-6 more, and fewer of nearer pairs.
-    Null and empty texts have no shingles and are their own component. A null id takes no part in links: its component_id is
-    null, or that of texts with the same set, and it is kept only in the first case. Rows that repeat an id and a text are
-    one document; rows with one id and several texts are linked by that id, through any of their sets. Other columns are ignored.
+    [^\\x20\\x09-\\x0D]+; fewer words: one shingle of all). Shingles are told apart by 64-bit hashes, sets by 128 bits.
+    component_id is the smallest id reachable. Every candidate of the banding is decided on the full sets: at a similarity
+    of 0.8 a pair shares no band with a chance of 3e-6, at 0.85 of 1e-8. Pairs that no star joined pass an estimate of 4.5 standard
+    deviations below the threshold first, which loses a pair at the threshold with a chance of about 3e-6 more, and fewer of nearer pairs.
+
+    Null and empty texts have no shingles and are their own component. Rows without id take part in links like others: their
+    component_id is the smallest id reachable, null if no row there has one, and they are kept only in that case. Rows are told apart by
+    their texts: rows that repeat an id and a text are one document, rows with one id and several texts are several. Other columns are ignored.
     """
     signed, found = near_classes(docs, num, den, width, bands, block, log2_bits, id_col, text_col)
-    alone = signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    rest = signed.where("n_shingles > 0").join(found, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = rest.union(alone)
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    cols = ("id", "text_hash", "n_shingles")
+    alone = signed.where("n_shingles = 0").select(*cols, F.col("id").alias("component_id"))
+    out = signed.where("n_shingles > 0").join(found, "digest").select(*cols, F.col("component").alias("component_id")).union(alone)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *(["text_hash"] if hashed else []))

@@ -86,13 +86,54 @@ def test_near(spark, docs, texts):
         assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_rows_without_id_and_ids_with_several_texts(spark):
+    v = variants(spark)
+    rows = [(None, v[0][1]), (None, v[1][1]), (7, v[2][1]), (7, "alone " * 9), (7, "alone " * 9), (3, v[3][1]), (None, "quite other words than all of the rest"), (9, "u u u"), (9, "w w w")]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hashed=True).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == sorted(
+        [("None", "3", False), ("None", "3", False), ("7", "3", False), ("7", "7", True), ("7", "7", True), ("3", "3", True), ("None", "None", True), ("9", "9", True), ("9", "9", True)]
+    )
+    assert len({(r.doc_id, r.text_hash) for r in got}) == 8
+
+
+def test_crowded_buckets_of_two_components(spark):
+    """Copies of two texts that share buckets and are not alike: members of one component are not dealt to each other."""
+    from factloom.llm import near_dedup as nd
+
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(70)]
+    other = base[:58] + [f"o{i}" for i in range(12)]
+    rows = []
+    for i in range(2400):
+        words = list((base, other)[i % 2])
+        words[0 if rng.random() < 0.5 else 1] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    dealt = []
+    keep = nd._dealt
+    nd._dealt = lambda *a: dealt.append(keep(*a)) or dealt[0]
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=100).collect()}
+    finally:
+        nd._dealt = keep
+    sets = [shingles(t) for _, t in rows]
+    index = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(index)), np.float32)
+    for i, x in enumerate(sets):
+        m[i, [index[y] for y in x]] = 1
+    both = m @ m.T
+    size = m.sum(axis=1)
+    assert got == closed(range(len(rows)), np.argwhere(np.triu(100 * both >= 80 * (size[:, None] + size[None] - both), 1)).tolist())
+    if dealt and dealt[0] is not None:
+        assert dealt[0].count() < 24 * 2400 * (2400 / 100) * 0.7
+
+
 def test_near_odd(odd, none):
     got = near_dedup(odd).collect()
     assert len(got) == 15
     by = {r.doc_id: r for r in got if r.doc_id}
     assert by[1].component_id == by[2].component_id == 1 and by[6].component_id == by[7].component_id == 6
     assert all(by[i].n_shingles == 0 and by[i].kept for i in (3, 4, 5))
-    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None and r.n_shingles) == [(6, 1, False)]
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None and r.n_shingles) == [(6, 1, False)] and len([r for r in got if r.doc_id is None]) == 2
     assert by[10].n_shingles == 2 and near_dedup(none).count() == 0
 
 

@@ -92,6 +92,17 @@ def test_pipeline(spark, sf, texts):
     check([(i, texts[i]) for i in want], rows, 2048)
 
 
+def test_one_id_with_two_texts(spark, sf):
+    """A text that goes takes no other text of its id along."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (5, base), (5, "a text of its own, unlike the others here"), (None, base), (6, base + " more"), (6, None)]
+    frame = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.exact(spark, frame, sf).collect())
+    assert exact == sorted([("1", base), ("5", rows[2][1]), ("6", base + " more"), ("6", "None")])
+    near = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.near(spark, frame, sf).collect())
+    assert near == sorted([("1", base), ("5", rows[2][1]), ("6", "None")])
+
+
 def test_stages_on_odd_rows(spark, sf, odd, odd_rows, none):
     """Null ids and texts, repeated rows, clashing columns: stages keep their columns and lose only what they decide on."""
     for name, stage in corpus_pipeline.STAGES[:3]:
