@@ -58,9 +58,11 @@ def _counts(bits: int, held: int = 3_000_000):
     def packed(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         ends = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
         ends = np.append(ends, len(keys))
+        full = np.flatnonzero(np.diff(ends))  # empty buckets make no rows
+        ends = np.append(ends[full], len(keys))
         # of a bigram the bucket and the next 32 bits stay; of a word the whole hash
         image = binaries(keys, ends) if kind == 0 else binaries((keys >> np.uint64(32 - bits)).astype(np.uint32), ends)
-        return pa.record_batch([pa.array(np.full(1 << bits, kind, np.int32)), pa.array(np.arange(1 << bits, dtype=np.int32)), image, binaries(counts.astype(np.uint32), ends)], names=["kind", "bucket", "keys", "counts"])
+        return pa.record_batch([pa.array(np.full(len(full), kind, np.int32)), pa.array(full.astype(np.int32)), image, binaries(counts.astype(np.uint32), ends)], names=["kind", "bucket", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: list[list] = [[], []]
@@ -280,7 +282,7 @@ def ngram_tables(rows: DataFrame, bits: int, hashes: int, false_hits: float, siz
     return written(packed.groupBy("bucket").applyInArrow(_reduced(bits, hashes, false_hits, size), "word long, c long, bucket int, image binary"), "ngrams")
 
 
-def lm_scores(docs: DataFrame, filter_bits: int | None = None, hashes: int = 2, mu: float = 20.0, head: int = 1 << 20, false_hits: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, filter_bits: int | None = None, hashes: int = 2, mu: float = 20.0, head: int = 1 << 20, false_hits: float = 0.01, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Counts come from all rows with crc32(id) mod 7 <> 2 (a null id hashes as the empty text). base_score is exact: frequent words
@@ -288,7 +290,7 @@ def lm_scores(docs: DataFrame, filter_bits: int | None = None, hashes: int = 2,
     score is a bigram model, p(w|v) = (c(v w) + mu * p(w)) / (c(v) + mu) with p(w) = (c(w) + 1) / (N + V + 1), whose counts
     are read from log-frequency Bloom filters, one a hash bucket. Each has as many bits as its own n-grams and their levels need
     for `false_hits` false hits a probe (about 19 bits a level of an n-gram), so estimates are alike at every size of the input;
-    filter_bits fixes the sum of the sizes at 2**filter_bits bits instead. Filters are not broadcast: the distinct n-grams of each
+    filter_bits fixes the sum of the sizes at 2**filter_bits bits instead. There is a bucket for every bucket_bytes of text, 64 at least. Filters are not broadcast: the distinct n-grams of each
     chunk of texts go to their bucket, and levels come back, a byte each.
 
     Null and empty texts are the end token alone. Without training rows N = V = 0. Repeated rows are scored alike, and count
@@ -296,8 +298,9 @@ def lm_scores(docs: DataFrame, filter_bits: int | None = None, hashes: int = 2,
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (crc32_mod(id_col, 7) == 2).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # buckets grow with the input, so what one task merges does not
-    bits = min(20, max(6, int(np.ceil(np.log2(max(1, rows.rdd.getNumPartitions()))))))
+    # buckets grow with the texts, so what one task merges does not
+    held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(20, max(6, int(np.ceil(np.log2(max(1, held / bucket_bytes))))))
     size = None if filter_bits is None else 1 << max(10, filter_bits - bits)
     merged = ngram_tables(rows.where("not held_out"), bits, hashes, false_hits, size)
     counts = merged.where("c > 0").select("word", "c")

@@ -309,6 +309,33 @@ def test_share_of_bits_is_the_same_at_every_size(docs):
     assert sizes[1] > 2 * sizes[0] and all(0.08 < x < 0.11 for x in shares)
 
 
+def test_probes_without_collisions_give_the_quantised_counts():
+    rng = np.random.default_rng(14)
+    keys = rng.choice(1 << 32, 4000, replace=False).astype(np.uint32)
+    counts = rng.zipf(1.7, 4000).clip(max=1 << 20)
+    f = Filter.made(keys[:3000], counts[:3000], 2, 0.01, size=1 << 26)
+    assert (f.level(keys[:3000]) == [int(c).bit_length() for c in counts[:3000]]).all() and (f.level(keys[3000:]) == 0).all()
+
+
+def test_scores_by_plain_counts_on_filters_without_collisions(docs, texts, odd, odd_rows):
+    """Every score equals that of a plain model over dicts whose counts are quantised alike."""
+    for frame, rows in ((docs, list(texts.items())), (odd, [(r[0], r[1]) for r in odd_rows])):
+        split = [(i, [b"", *(t or "").encode().lower().split(), b"\n"]) for i, t in rows]
+        one, two = {}, {}
+        for i, ws in split:
+            if not held_out(i, 7, 2):
+                for v, w in zip(ws, ws[1:]):
+                    one[w] = one.get(w, 0) + 1
+                    two[v, w] = two.get((v, w), 0) + 1
+        floor = sum(one.values()) + len(one) + 1
+        mean = lambda c: (3 * 2.0 ** (int(c).bit_length() - 1) - 1) / 2 if c else 0.0
+        c1 = lambda w: mean(one.get(w or b"\n", 0))
+        want = sorted((str(i), round(sum(np.log10(min(1.0, (min(mean(two.get((v, w), 0)), c1(v), c1(w)) + 20 * (c1(w) + 1) / floor) / (c1(v) + 20))) for v, w in zip(ws, ws[1:])), 4)) for i, ws in split)
+        got = sorted((str(r.doc_id), round(r.score, 4)) for r in lm_scores(frame, false_hits=1e-7).collect())
+        off = [(g, w) for g, w in zip(got, want, strict=True) if g[0] != w[0] or abs(g[1] - w[1]) > 2e-4]
+        assert len(off) <= 0.01 * len(want)  # the rare false hit
+
+
 def test_scores_with_grown_filters_are_those_of_exact_counts(docs, texts):
     split = {i: [b"", *(t or "").encode().lower().split(), b"\n"] for i, t in texts.items()}
     one, two = {}, {}
