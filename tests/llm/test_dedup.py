@@ -198,6 +198,21 @@ def test_embeddings(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in again.collect()} == cosine_expected(rows)
 
 
+def test_embeddings_without_id(spark):
+    """Vectors without id are compared like all others: every number of links is that of plain loops over all rows."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(5, 6))
+    rows = [(None if i % 3 else i % 30, [float(np.float32(x)) for x in centers[i % 5] + rng.normal(size=6) * 0.25]) for i in range(90)]
+    rows += [(None, rows[0][1]), (None, [9.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (None, None)]
+    plain = cosine_expected(list(enumerate(v for _, v in rows)))
+    groups = defaultdict(list)
+    for i, (_, c) in plain.items():
+        groups[c].append(i)
+    low = {i: min((rows[j][0] for j in g if rows[j][0] is not None), default=None) for g in groups.values() for i in g}
+    got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=16, dims=2).collect()
+    assert sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got) == sorted(str((i, plain[k][0], low[k], i == low[k])) for k, (i, _) in enumerate(rows))
+
+
 def test_interval_pairs():
     rng = np.random.default_rng(4)
     lo = np.sort(rng.uniform(0, 10, (60, 2)), axis=0)
