@@ -19,7 +19,7 @@ from .url_filter import host_of
 
 # Fixed values of HTML and of common page markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select button canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object select button canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -29,8 +29,13 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search aler
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer notice notices cookie cookies consent alert disclaimer popup modal overlay newsletter subscribe signup comment comments disqus replies respond share sharing social related recommended widget".split()
 )
+#: Words of class names that say nothing themselves.
+FILLER_WORDS = frozenset("area bar block body bottom box col column container content inner item items left link links list main page panel right row section site slot thread top unit wrap wrapper".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
+#: What markup says beforehand about a node, added to its importance in the style tree, which is between 0 and 1.
+CONTENT, NEUTRAL, DOUBTFUL, NOISE = 1.0, 0.0, -0.35, -1.0
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|aria-hidden|hidden)(?=[\s=/>]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
@@ -40,45 +45,66 @@ _DIGITS = re.compile(r"\d+")
 @dataclass
 class Element:
     tag: str
-    path: str
-    noise: bool
+    key: int
+    prior: float
     content: bool
     children: list = field(default_factory=list)
 
 
 @dataclass
 class Page:
-    """blocks: (path, noise by markup, inside an article, text); elements: every element's path and children."""
+    """blocks: (style node, prior, inside an article, text); children: for each style node the tags and classes of what it holds on this page."""
 
     blocks: list = field(default_factory=list)
-    elements: list = field(default_factory=list)
+    children: dict = field(default_factory=dict)
+
+
+def _hash(*parts) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) - (1 << 63)
 
 
-def _open(tag: str, attrs: str, up: Element) -> Element:
-    name, noise = tag, tag in NOISE_TAGS
+def _named(value: str, own: bool) -> float:
+    """What a class or id says: a name made of noise words is noise; one that only holds some is noise outside an article, doubtful inside."""
+    out = NEUTRAL
+    for name in value.split():
+        words = {w for w in re.split(r"[^a-z0-9]+", name) if w} - FILLER_WORDS
+        if own:  # a header inside an article may be its own
+            words -= {"header", "masthead"}
+        if words and not NOISE_WORDS.isdisjoint(words):
+            out = min(out, NOISE if words <= NOISE_WORDS or not own else DOUBTFUL)
+    return out
+
+
+def _open(tag: str, attrs: str, up: Element, markup: bool) -> tuple[Element, str]:
+    name, prior = tag, NOISE if tag in NOISE_TAGS or tag == "header" and not up.content else NEUTRAL
     if attrs:
-        words: list[str] = []
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
-                words += re.split(r"[^a-z0-9]+", value)
                 name += f"{'.' if key == 'class' else '#'}{_DIGITS.sub('0', value)}"
+                if tag not in ("html", "body", *CONTENT_TAGS):
+                    prior = min(prior, _named(value, up.content))
             elif key == "role":
-                noise = noise or value in NOISE_ROLES
+                prior = NOISE if value in NOISE_ROLES else prior
             elif key == "hidden" or value == "true":
-                noise = True
-        # a header or notice inside an article may be its own; outside it is the site's
-        own = up.content and {"header", "masthead"} or set()
-        noise = noise or (tag not in ("html", "body", *CONTENT_TAGS) and not NOISE_WORDS.isdisjoint(set(words) - own))
-    noise = noise or (tag == "header" and not up.content)
-    return Element(tag, f"{up.path}/{name}", up.noise or noise, up.content or tag in CONTENT_TAGS)
+                prior = NOISE
+    if not markup and tag not in RAW and tag != "head":
+        prior = NEUTRAL
+    content = up.content or tag in CONTENT_TAGS
+    # within an article text is content, unless a name above it speaks against it
+    prior = min(prior, up.prior) if min(prior, up.prior) < NEUTRAL else CONTENT if content and markup else NEUTRAL
+    return Element(tag, _hash(up.key, name), prior, content and markup), name
+
 
+def parse(source: str, host: str = "", markup: bool = True) -> Page:
+    """Blocks of a page in order. Unclosed, crossed and missing tags are taken as browsers take them, as far as blocks go.
 
-def parse(source: str) -> Page:
-    """Blocks and elements of a page in order. Unclosed, crossed and missing tags are taken as browsers take them, as far as blocks go."""
+    A style node is known by a hash of its host and the names on its path, so depth costs nothing. Without `markup`
+    names and tags say nothing, apart from what is no text at all.
+    """
     page = Page()
-    root = Element("", "", False, False)
-    stack, text = [root], []
+    root = Element("", _hash(host), NEUTRAL, False)
+    stack, text, live = [root], [], Counter()
     at, n = 0, len(source)
 
     def flush() -> None:
@@ -87,13 +113,19 @@ def parse(source: str) -> Page:
             text.clear()
             if words:
                 top = stack[-1]
-                page.blocks.append((top.path, top.noise, top.content, " ".join(words)))
+                page.blocks.append((top.key, top.prior, top.content, " ".join(words)))
+
+    def cut(i: int) -> None:
+        live.subtract(e.tag for e in stack[i:])
+        del stack[i:]
 
     def close(names: tuple, until: frozenset = frozenset()) -> None:
+        if not any(live[t] for t in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 flush()
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in until:
                 return
@@ -111,14 +143,14 @@ def parse(source: str) -> Page:
             continue
         block = tag in BLOCK
         if m[1] or m[4]:
-            if tag == "p" and all(e.tag != "p" for e in stack):
+            if tag == "p" and not live["p"]:
                 flush()
             elif block:
                 close((tag,), frozenset(("article", "table")) - {tag})
-            else:
+            elif live[tag]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i].tag in BLOCK:
                         break
@@ -132,117 +164,126 @@ def parse(source: str) -> Page:
                 close(("p",), frozenset(("td", "th", "button", "table")))
                 if tag in CLOSES:
                     close(CLOSES[tag], frozenset(("ul", "ol", "dl", "table")))
-        element = _open(tag, m[3] or m[6] or "", stack[-1])
-        stack[-1].children.append(element.path.rpartition("/")[2])
-        page.elements.append(element)
+        element, name = _open(tag, m[3] or m[6] or "", stack[-1], markup)
+        page.children.setdefault(stack[-1].key, []).append(name)
         if tag in RAW:
             end = _END[tag].search(source, at)
             at = end.end() if end else n
         elif tag not in VOID and not (m[0].endswith("/>") and not block):
             stack.append(element)
+            live[tag] += 1
     flush()
     return page
 
 
-def main_blocks(page: Page, low: set | None = None, key=None) -> list[str]:
-    """The blocks that stay. low: keys of style nodes of low importance; a block outside content goes if its node or one above is low.
+def main_blocks(blocks: list, gone: set | None = None) -> list[str]:
+    """The texts that stay. blocks: (prior, inside an article, text); gone: places of blocks whose branch the style tree removes.
 
-    Text within an article or main element stays: what many pages of a site share may be one article in copies.
+    If text inside an article or main element is left, only such text counts. The tree never takes all of a page.
     """
-    kept = [b for b in page.blocks if not b[1]]
-    if low:
-        seen: dict[str, bool] = {}
-
-        def is_low(path: str) -> bool:
-            if path not in seen:
-                seen[path] = bool(path) and (key(path) in low or is_low(path.rpartition("/")[0]))
-            return seen[path]
-
-        kept = [b for b in kept if b[2] or not is_low(b[0])] or kept  # never the whole page
-    inside = [b for b in kept if b[2]]
-    return [b[3] for b in (inside or kept)]
-
-
-def node_key(host: str, path: str) -> int:
-    return xxhash.xxh64_intdigest(f"{host}\x00{path}") - (1 << 63)
-
-
-def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, kind, value, pages: kind 0 a node's sequence of children, kind 1 a text in it; counted once a page."""
-    for batch in batches:
-        for part in slices(batch, "html"):
-            seen: Counter = Counter()
-            for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                page = parse(source)
-                inner: dict[str, list] = {}
-                for e in page.elements:
-                    if not e.noise:
-                        inner.setdefault(e.path, []).extend(e.children)
-                h = xxhash.xxh64_intdigest
-                seen.update((host, p, 0, h(" ".join(c)) - (1 << 63)) for p, c in inner.items())
-                seen.update({(host, b[0], 1, h(b[3]) - (1 << 63)) for b in page.blocks if not b[1]})
-            cols = list(zip(*seen, strict=True)) or [[]] * 4
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            yield pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "kind", "value", "pages"])
-
-
-def node_importance(pages: DataFrame, gamma: float = 0.9, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, pages, importance of every style node that markup alone does not show to be noise.
-
-    Pages of a host are merged: elements of the same path form one style node. With m pages, its presentation importance is the
-    entropy, to the base m, of its sequences of children; the content importance of a node with text is 1 less the mean over its
-    texts of log_m(pages that hold the text). A branch weighs (1 - gamma) * presentation + gamma * mean content of the text
-    nodes within. A node of one page has importance 1.
+    kept = [b for i, b in enumerate(blocks) if b[0] > NOISE and not (gone and i in gone)] or [b for b in blocks if b[0] > NOISE]
+    inside = [b for b in kept if b[1]]
+    return [b[2] for b in (inside or kept)]
+
+
+_PARSED = "id {}, url string, prior array<double>, inside array<boolean>, texts array<string>, nodes array<long>, marks array<long>, shapes array<long>, flags array<int>"
+
+
+def _parsed(markup: bool):
+    """A row a page: its blocks without those that markup shows to be noise.
+
+    marks: hashes of node and text; shapes: hashes of what the node holds on the page; flags: 1 for the first block of its
+    node on the page, 2 for the first of its mark, 3 for both.
+    """
+    kinds = (pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                cols: list[list] = [[] for _ in kinds]
+                ends = [0]
+                for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    page = parse(source, host, markup)
+                    known: set = set()
+                    shapes = {}
+                    for node, prior, inside, text in page.blocks:
+                        if prior <= NOISE:
+                            continue
+                        mark = _hash(node, text)
+                        if node not in shapes:
+                            shapes[node] = _hash(*page.children.get(node, ()))
+                        flag = (node not in known) + 2 * ((node, mark) not in known)
+                        known |= {node, (node, mark)}
+                        for c, v in zip(cols, (prior, inside, text, node, mark, shapes[node], flag), strict=True):
+                            c.append(v)
+                    ends.append(len(cols[0]))
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c, k)) for c, k in zip(cols, kinds, strict=True)]
+                yield pa.record_batch([part.column("id"), part.column("url"), *lists], names=["id", "url", "prior", "inside", "texts", "nodes", "marks", "shapes", "flags"])
+
+    return run
+
+
+def importances(blocks: DataFrame, gamma: float, pseudo: float) -> DataFrame:
+    """node, mark, importance of every content node. blocks: node, mark, shape, flag of each block.
+
+    The pages of a host are merged: elements of the same path form one style node, its texts are content nodes. With m pages
+    that show a node, its presentation importance is the entropy of what it holds; a content node on n pages has importance
+    1 - log n. Logarithms are to the base m + pseudo: as if `pseudo` more pages had shown something else, so that few pages
+    say little, at any number. A node weighs (1 - gamma) * presentation + gamma * the mean of its content over pages; a
+    content node the same with its own content, and no more than its node: a unique text in a branch that otherwise repeats goes with it.
     """
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(_tree_rows, "host string, path string, kind int, value long, pages long")
-    seen = written(rows.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("n")), "styles")
-    size = seen.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    # -sum p ln p = ln m - (sum n ln n) / m
-    size = size.withColumn("presentation", F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(1.0))
-    texts = seen.where("kind = 1").groupBy("host", "path").agg(F.avg(F.log("n")).alias("shared"), F.count("*").alias("texts"))
-    leaf = texts.join(size.select("host", "path", "m"), ["host", "path"]).withColumn("content", F.when(F.col("m") > 1, 1 - F.least(F.lit(1.0), F.col("shared") / F.log("m"))).otherwise(1.0))
-    # a text node counts for itself and for every node above it
-    steps = F.split("path", "/")
-    up = F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.concat_ws("/", F.slice(steps, 1, k)))).alias("path")
-    branch = leaf.select("host", up, "content", "m").groupBy("host", "path").agg((F.sum(F.col("content") * F.col("m")) / F.sum("m")).alias("content"))
-    return size.join(branch, ["host", "path"]).select("host", "path", F.col("m").alias("pages"), ((1 - gamma) * F.col("presentation") + gamma * F.col("content")).alias("importance"))
+    shapes = blocks.where("flag % 2 = 1").groupBy("node", "shape").agg(F.count("*").alias("n"))
+    node = shapes.groupBy("node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    base = F.log(F.col("m") + pseudo)
+    # -sum p ln p = ln m - (sum n ln n) / m; what is missing to the base is the entropy of the pseudo pages
+    node = node.select("node", base.alias("base"), (1 - F.col("nlogn") / F.col("m") / base).alias("presentation"))
+    texts = blocks.where("flag >= 2").groupBy("node", "mark").agg(F.count("*").alias("n")).join(node, "node")
+    texts = written(texts.select("node", "mark", "n", "presentation", (1 - F.log("n") / F.col("base")).alias("content")), "contents")
+    mean = texts.groupBy("node").agg((F.sum(F.col("n") * F.col("content")) / F.sum("n")).alias("mean"))
+    weigh = lambda c: (1 - gamma) * F.col("presentation") + gamma * F.col(c)
+    return texts.join(mean, "node").select("node", "mark", F.least(weigh("content"), weigh("mean")).alias("importance"))
 
 
 def extract(
     pages: DataFrame,
-    threshold: float = 0.15,
-    min_pages: int = 10,
-    max_keys: int = 1_000_000,
+    threshold: float = 0.3,
+    gamma: float = 0.9,
+    pseudo: float = 4.0,
+    markup: bool = True,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
     """One row per page: id, url, text, n_chars.
 
-    Removed are branches that markup names (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-    comments), and branches whose importance in the host's style tree is under `threshold`, where at least `min_pages` pages show
-    the node (fewer say nothing about a site) and it is not within an article or main element. If an article or main element with text is left, only text within such counts.
-    Null html, and pages without text, give an empty text; a null url, or one without host, belongs to the host "". Repeated rows
-    give repeated results (and weigh twice in the tree). Texts are whole, whatever their length.
+    A block of text goes if the importance of its content node in the host's style tree, plus what markup says beforehand, is under
+    `threshold`; a branch goes if all its blocks do. Markup says noise (-1: goes whatever the tree says) of menus, headers,
+    footers, sidebars, notices, adverts, forms, scripts, styles, buttons, graphics and reader comments, known by tag, role or
+    class; doubtful (-0.35) of names in an article that only hold such a word, as in "related-work"; content (1: stays) of all
+    else in an article or main element, as what a site repeats there may be an article in copies; nothing of the rest. If
+    text within an article or main element is left, only such text counts. With markup=False the tree decides alone.
 
-    The keys of low nodes are broadcast only if there are at most `max_keys` (8 MB); beyond that each host's keys are joined to its pages.
+    Null html, and pages without text, give an empty text; a null url, or one without host, belongs to the host "". Repeated rows
+    give repeated results (and weigh twice in the tree). Texts are whole, whatever their length; nesting may be of any depth.
+    Each page is parsed once; blocks, not pages, are routed to the tree's counts, and places of what goes come back.
     """
-    low = written(node_importance(pages, url_col=url_col, html_col=html_col).where((F.col("importance") < threshold) & (F.col("pages") >= min_pages)).select("host", "path"), "low")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    few = low.limit(max_keys + 1).count() <= max_keys
-    shared = {node_key(r["host"], r["path"]) for r in low.toLocalIterator()} if few else set()
-    if not few:
-        rows = rows.join(low.groupBy("host").agg(F.collect_set("path").alias("low")), "host", "left")
+    kind = pages.schema[id_col].dataType.simpleString()
+    parsed = rows.mapInArrow(_parsed(markup), _PARSED.format(kind)).withColumn("rid", F.monotonically_increasing_id())
+    parsed = written(parsed, "pages")
+    zipped = F.arrays_zip("nodes", "marks", "shapes", "flags", "prior")
+    blocks = parsed.select("rid", F.posexplode(zipped).alias("pos", "b")).select("rid", "pos", F.col("b.nodes").alias("node"), F.col("b.marks").alias("mark"), F.col("b.shapes").alias("shape"), F.col("b.flags").alias("flag"), F.col("b.prior").alias("prior"))
+    # where markup decides alone, no importance is needed
+    open_ = blocks.where((F.col("prior") < threshold) & (F.col("prior") + 1 >= threshold))
+    low = importances(open_, gamma, pseudo).where(F.col("importance") < threshold - DOUBTFUL)
+    gone = open_.join(low, ["node", "mark"]).where(F.col("importance") + F.col("prior") < threshold).groupBy("rid").agg(F.collect_set("pos").alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "html"):
-                hosts, own = part.column("host").to_pylist(), [None] * part.num_rows if few else part.column("low").to_pylist()
-                texts = []
-                for host, source, mine in zip(hosts, part.column("html").to_pylist(), own, strict=True):
-                    keys = shared if few else {node_key(host, p) for p in mine or ()}
-                    texts.append("\n\n".join(main_blocks(parse(source), keys, lambda p, host=host: node_key(host, p))))
-                yield pa.record_batch([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["id", "url", "text", "n_chars"])
+            texts = []
+            for *block, out in zip(*(batch.column(k).to_pylist() for k in ("prior", "inside", "texts", "gone")), strict=True):
+                texts.append("\n\n".join(main_blocks(list(zip(*block, strict=True)), set(out or ()))))
+            yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["id", "url", "text", "n_chars"])
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    judged = parsed.select("rid", "id", "url", "prior", "inside", "texts").join(gone, "rid", "left").drop("rid")
+    return judged.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
