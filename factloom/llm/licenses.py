@@ -35,6 +35,45 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 
+# Whole licence texts and notices.
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+This notice may not be removed or altered from any source distribution."""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+
+#: All wordings, whole texts with them.
+WORDINGS = TEMPLATES + (
+    (MIT_TEXT, "mit"),
+    (BSD_START + " " + BSD_END, "bsd"),
+    (BSD_START + " " + BSD_NAMES + " " + BSD_END, "bsd"),
+    (ISC_TEXT, "isc"),
+    (ZLIB_TEXT, "zlib"),
+    (UNLICENSE_TEXT, "unlicense"),
+    (APACHE_NOTICE, "apache-2"),
+    (GPL_NOTICE, "gpl"),
+    (BSD_NAMES, "bsd"),
+)
+
 #: Word bytes stay (A-Z in lower case), all others become spaces: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -104,7 +143,7 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, base: Sequence[tuple[str, str]] = BASE, templates: Sequence[tuple[str, str]] = TEMPLATES, min_match: int = 3, max_gap: int = 6, min_cover: float = 0.6):
+    def __init__(self, base: Sequence[tuple[str, str]] = BASE, templates: Sequence[tuple[str, str]] = WORDINGS, min_match: int = 3, max_gap: int = 6, min_cover: float = 0.6):
         """min_match: words of the shortest match that counts; max_gap: words between matches that are chained; min_cover: part of a wording that gives its label."""
         texts = [(p, label, True) for p, label in base] + [(t, label, False) for t, label in templates]
         wordings = [t.encode().translate(WORD_BYTES).split() for t, _, _ in texts]
@@ -117,6 +156,8 @@ class Scanner:
         self.pairs = np.zeros((n + 1, n + 1), bool)
         for x in self.wordings:
             self.pairs[x[:-1], x[1:]] = True
+        #: for each wording the shorter ones that lie in it, and where
+        self.inside = [[(v, at) for v, y in enumerate(self.wordings) if len(y) < len(x) and not self.is_base[v] for at in range(len(x) - len(y) + 1) if x[at : at + len(y)] == y] for x in self.wordings]
         phrase_at = {}
         for k, end in enumerate(self.auto.ends):
             if self.is_base[k]:
@@ -143,12 +184,20 @@ class Scanner:
 
     def spans(self, matches: list) -> list[tuple[str, int, int, float]]:
         """Chains of matches that keep a wording's order, each with the part of the wording that it covers."""
+        found_in: dict[int, set] = {}
+        for first, length, state in matches:
+            for w, end in self.auto.places[state]:
+                if not self.is_base[w]:
+                    found_in.setdefault(w, set()).add((first, length, end))
+                    # a long match hides the shorter wordings that lie in it
+                    for v, at in self.inside[w]:
+                        a, b = max(end - length, at), min(end, at + len(self.wordings[v]))
+                        if b - a >= self.min_match:
+                            found_in.setdefault(v, set()).add((first + a - end + length, b - a, b - at))
         chains: dict[int, list] = {}
         done = []
-        for first, length, state in sorted(matches):
-            for w, end in self.auto.places[state]:
-                if self.is_base[w]:
-                    continue
+        for w, own in found_in.items():
+            for first, length, end in sorted(own):
                 open_ = chains.get(w)
                 # open_: first word, last word + 1, end in the wording, covered words
                 if open_ and first - open_[1] <= self.max_gap and end - length >= open_[2] - max(0, open_[1] - first):

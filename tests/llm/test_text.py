@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from factloom.llm import url_filter
 from factloom.llm.bpe import Codec, bpe_decode, bpe_digests, bpe_encode
 from factloom.llm.html_extract import extract, importances, main_blocks, parse
-from factloom.llm.licenses import BASE, WORD_BYTES, Automaton, Scanner, license_scan
+from factloom.llm.licenses import BASE, BSD_NAMES, WORD_BYTES, WORDINGS, Automaton, Scanner, license_scan
 from factloom.llm.lm_score import Filter, levels, lm_scores, ngram_tables
 from factloom.llm.quality import Machine, features, fit, keep_good, quality_scores
 from factloom.llm.url_filter import url_verdicts
@@ -88,6 +88,61 @@ def test_licence_wordings():
     assert scan("the license of the software is free to use")[5] == ""
 
 
+def plain_scan(text, scanner, min_match=3):
+    """Longest common runs of text and each wording by loops: for each wording the words that runs of min_match words or more cover."""
+    words = (text or "").encode().translate(WORD_BYTES).split()
+    out = {}
+    for label, base, wording in zip(scanner.labels, scanner.is_base, scanner.wordings, strict=True):
+        if base:
+            continue
+        names = {i: w for w, i in scanner.vocab.items()}
+        own = [names[i] for i in wording]
+        covered = set()
+        for i in range(len(words)):
+            for j in range(len(own)):
+                n = 0
+                while i + n < len(words) and j + n < len(own) and words[i + n] == own[j + n]:
+                    n += 1
+                if n >= min_match:
+                    covered |= set(range(j, j + n))
+        out[label] = max(out.get(label, 0), len(covered) / len(own))
+    return out
+
+
+def test_whole_licences():
+    """Whole texts, cut and edited: the label is found where a plain comparison finds most of a wording, and none where it finds little."""
+    scanner = Scanner()
+    rng = np.random.default_rng(15)
+    for text, label in WORDINGS[-9:]:
+        words = text.split()
+        for edits in (0, 3):
+            own = list(words)
+            for at in rng.choice(len(own), edits, replace=False):
+                own[at] = "qqq"
+            whole = "Foo bar. " + " ".join(own) + " Baz"
+            got = [x.to_pylist()[0] for x in scanner.scan(pa.array([whole]))]
+            assert label in got[5].split(",") and got[6] >= 0.6
+            cover = plain_scan(whole, scanner)
+            assert all(s["cover"] <= cover[s["label"]] + 1e-9 for s in got[7])
+            assert {k for k, v in cover.items() if v >= 0.95} <= set(got[5].split(","))
+        for start in (0, 7):  # a sentence that goes on in its whole text
+            scan = scanner.scan(pa.array([" ".join(words[start : start + 40])]))[5].to_pylist()[0]
+            if label in ("mit", "bsd", "gpl", "isc", "apache-2") and text != BSD_NAMES:
+                assert label in scan.split(","), (text, start)
+        part = " ".join(words[: len(words) // 4])
+        got = [x.to_pylist()[0] for x in scanner.scan(pa.array([part]))]
+        assert set(filter(None, got[5].split(","))) <= {k for k, v in plain_scan(part, scanner).items() if v >= 0.6}
+
+
+def test_memo_is_bounded_in_bytes():
+    from factloom.llm.bpe import Memo
+
+    memo = Memo(lambda texts: [[1] * len(t) for t in texts], 1000, max_bytes=1000)
+    for i in range(50):
+        pool, at, size = memo([f"{i}".rjust(100).encode(), b"a"])
+        assert size.tolist() == [100, 1] and len(memo.index) <= 5 and memo.bytes <= 1000 + 600
+
+
 def test_urls(spark):
     rows = [
         ("http://a.com/x", "com/", "allow"),
