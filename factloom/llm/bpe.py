@@ -30,20 +30,24 @@ def vocabulary_path(name: str) -> str:
 
 
 class Memo:
-    """Encodings of byte strings, in one growing pool. It starts anew once it holds max_entries, so its memory is bounded."""
+    """Encodings of byte strings, in one growing pool. It starts anew once it holds max_entries or max_bytes, so its memory is bounded.
 
-    def __init__(self, encode, max_entries: int):
-        self.encode, self.max_entries = encode, max_entries
+    What one call brings may exceed max_bytes, by the slice of texts that the call encodes at most.
+    """
+
+    def __init__(self, encode, max_entries: int, max_bytes: int = 64 << 20):
+        self.encode, self.max_entries, self.max_bytes = encode, max_entries, max_bytes
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
+        self.bytes = 0  # of keys and ids
 
     def __call__(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """pool, and for each key its start and length there."""
-        if len(self.index) > self.max_entries:
+        if len(self.index) > self.max_entries or self.bytes > self.max_bytes:
             self.clear()
         known = self.index
         new = list(dict.fromkeys(k for k in keys if k not in known))
@@ -51,6 +55,7 @@ class Memo:
             got = self.encode([k.decode() for k in new])
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))))
+            self.bytes += sum(map(len, new)) + 4 * int(sizes.sum())
             at = len(known)
             known.update(zip(new, range(at, at + len(new)), strict=True))
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
