@@ -30,10 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
     path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

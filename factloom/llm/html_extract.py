@@ -270,13 +270,14 @@ def extract(
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     kind = pages.schema[id_col].dataType.simpleString()
     parsed = rows.mapInArrow(_parsed(markup), _PARSED.format(kind)).withColumn("rid", F.monotonically_increasing_id())
-    parsed = written(parsed, "pages")
+    parsed = written(parsed, "pages", "zstd")
     zipped = F.arrays_zip("nodes", "marks", "shapes", "flags", "prior")
     blocks = parsed.select("rid", F.posexplode(zipped).alias("pos", "b")).select("rid", "pos", F.col("b.nodes").alias("node"), F.col("b.marks").alias("mark"), F.col("b.shapes").alias("shape"), F.col("b.flags").alias("flag"), F.col("b.prior").alias("prior"))
     # where markup decides alone, no importance is needed
     open_ = blocks.where((F.col("prior") < threshold) & (F.col("prior") + 1 >= threshold))
     low = importances(open_, gamma, pseudo).where(F.col("importance") < threshold - DOUBTFUL)
     gone = open_.join(low, ["node", "mark"]).where(F.col("importance") + F.col("prior") < threshold).groupBy("rid").agg(F.collect_set("pos").alias("gone"))
+    gone = written(gone, "gone")  # of known size: where little goes it is broadcast, and texts stay where they are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
