@@ -21,14 +21,22 @@ def squeeze(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def casefold(s: Column) -> Column:
+    """Full case folding in the JVM: upper case joins what lower case keeps apart (sharp s, ligatures, long s). The dotless i
+    stays, and the final sigma becomes a plain one."""
+    # the optimizer takes lower(upper(x)) for lower(x), so that a step of its own must stand between
+    upper = F.upper(F.translate(F.lower(s), "ıς", "\ue000σ"))
+    return F.translate(F.lower(F.translate(upper, "ς", "Σ")), "\ue000ς", "ıσ")
+
+
 def normalize_surface(s: Column) -> Column:
-    """Lower case and single spaces; punctuation stays. lower() differs from full case folding for a few letters such as sharp s."""
-    return squeeze(F.lower(s))
+    """Case-folded, with single spaces; punctuation stays."""
+    return squeeze(casefold(s))
 
 
 def normalize_name(s: Column) -> Column:
     """As normalize_surface, with everything that is no word character or space replaced by a space."""
-    return squeeze(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_\s]", " "))
+    return squeeze(F.regexp_replace(casefold(s), r"[^\p{L}\p{N}_\s]", " "))
 
 
 @pandas_udf(T.StringType())

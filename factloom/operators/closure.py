@@ -2,36 +2,57 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder if there is one; else the plan grows by one join a round."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """Lineage cut in the shared folder that spark.checkpoint.dir names; a temporary one only where that is unset and all run on one machine."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            place = tempfile.mkdtemp(prefix="factloom-")
+        context.setCheckpointDir(place)
+    return df.checkpoint()
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", reflexive: bool = False, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent", reflexive: bool = False, max_depth: int = 64, start: tuple[str, object] | None = None) -> DataFrame:
     """child, parent, depth (shortest) for every pair connected upwards; with reflexive also each node and itself at depth 0.
 
-    Semi-naive: a round joins only the pairs found last with the edges, and keeps those not known yet, so cycles end. Raises
-    if max_depth rounds do not suffice, instead of leaving pairs out.
+    start: ("child", value) or ("parent", value) follows paths from that node alone, instead of finding all pairs first. Semi-naive: a
+    round joins only the pairs found last with the edges, and keeps those not known yet, so cycles end; it writes
+    the new pairs alone. Raises if max_depth rounds do not suffice, instead of leaving pairs out.
     """
     step = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null").distinct()
-    known = frontier = step.withColumn("depth", F.lit(1))
+    down = start is not None and start[0] == "parent"
+    fixed, moving = ("parent", "child") if down else ("child", "parent")
+    found = step if start is None else step.where(F.col(start[0]) == start[1])
+    frontier = _cut(found.withColumn("depth", F.lit(1)))
+    known = [frontier]
+    ahead = step.select(F.col(fixed).alias("mid"), F.col(moving).alias("end"))
     for depth in range(2, max_depth + 2):
-        new = frontier.select("child", F.col("parent").alias("mid")).join(step.select(F.col("child").alias("mid"), F.col("parent")), "mid").select("child", "parent").distinct()
-        frontier = _cut(new.join(known.select("child", "parent"), ["child", "parent"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = frontier.select(fixed, F.col(moving).alias("mid")).join(ahead, "mid").select(fixed, F.col("end").alias(moving)).distinct()
+        old = reduce(DataFrame.union, known).select("child", "parent")
+        frontier = _cut(new.join(old, ["child", "parent"], "left_anti").select("child", "parent", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
         if depth > max_depth:
             raise ValueError(f"the hierarchy is deeper than {max_depth}")
-        known = _cut(known.union(frontier))
+        known.append(frontier)
+    out = reduce(DataFrame.union, (k.select("child", "parent", "depth") for k in known))
     if reflexive:
         nodes = step.select("child").union(step.select("parent")).distinct()
-        loops = nodes.select("child", F.col("child").alias("parent"), F.lit(0).alias("depth"))
-        known = known.where("child <> parent").union(loops)
-    return known
+        if start is not None:
+            nodes = nodes.where(F.col("child") == start[1])
+        out = out.where("child <> parent").union(nodes.select("child", F.col("child").alias("parent"), F.lit(0).alias("depth")))
+    return out
 
 
 def redirects(merges: DataFrame, splits: DataFrame | None = None, max_depth: int = 100) -> DataFrame:

@@ -62,6 +62,11 @@ def resolve_location(valid: DataFrame, subjects: DataFrame | None = None) -> Dat
     return found.select("subject_id", status.alias("status"), F.when(n == 1, F.col("low")).alias("location"), n.cast("long").alias("n_values"))
 
 
+def current_location(assertions: DataFrame, now) -> DataFrame:
+    """subject_id, location: where subjects are now, by facts that have begun and not ended; those in conflict are left out."""
+    return resolve_location(as_of(assertions, now)).where("status = 'unique'").select("subject_id", "location")
+
+
 def location_values(valid: DataFrame) -> DataFrame:
     """subject_id, object_value, latest start, sorted distinct sources, sorted assertion ids, for every place that is claimed."""
     return valid.groupBy("subject_id", "object_value").agg(F.max("valid_from").alias("latest"), F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"), F.array_join(F.array_sort(F.collect_list("assertion_id")), ",").alias("assertion_ids"))

@@ -74,6 +74,17 @@ def merge_preview(merges: DataFrame, names: DataFrame, external: DataFrame) -> D
     return out.select("survivor", "duplicate", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("moved_aliases", "moved_ids")))
 
 
+def entity_lookup(entities: DataFrame, ids: list[str], redirect: DataFrame) -> DataFrame:
+    """The entities with one of the ids that were not merged away. redirect: duplicate, survivor."""
+    return entities.where(F.col("entity_id").isin(ids)).join(redirect.select(F.col("duplicate").alias("entity_id")), "entity_id", "left_anti")
+
+
+def merge_members(redirect: DataFrame) -> DataFrame:
+    """entity_id, component: every entity of a merge with the survivor that its chain ends at. redirect: duplicate, survivor, followed to the end."""
+    survivors = redirect.select(F.col("survivor").alias("entity_id"), F.col("survivor").alias("component")).distinct()
+    return redirect.select(F.col("duplicate").alias("entity_id"), F.col("survivor").alias("component")).union(survivors)
+
+
 def forbidden_merges(merges: DataFrame, cannot_link: DataFrame, members: DataFrame) -> DataFrame:
     """Merges whose two components hold a pair that must not be linked. members: entity_id, component; cannot_link: left_id, right_id."""
     m = members.select(F.col("entity_id").alias("e"), F.col("component").alias("c"))

@@ -1,7 +1,7 @@
 """Graph patterns over triples (s, p, o): joins, optional parts, absent parts and paths, declared once and run as one DataFrame plan.
 
-A triples table partitioned by p turns every pattern with a constant predicate into a pruned scan. Patterns are joined in the
-order given, so write the selective ones first.
+A triples table partitioned by p turns every pattern with a constant predicate into a pruned scan; bound variables are filters on
+those scans and starting points of paths. Patterns are joined in the order given, so write the selective ones first.
 """
 
 from __future__ import annotations
@@ -36,52 +36,89 @@ def _terms(pattern: str) -> tuple[str, str, str]:
     return s, p, o
 
 
-def one_pattern(triples: DataFrame, pattern: str) -> DataFrame:
+def predicates(q: Query) -> set[str]:
+    """The predicates that a query names: what it needs of the triples."""
+    groups = [q.where, q.union, *q.optional, *(g for g, _ in q.absent)]
+    return {_terms(x)[1].rstrip("*+") for g in groups for x in g}
+
+
+def one_pattern(triples: DataFrame, pattern: str, bind: Mapping[str, str] | None = None) -> DataFrame:
+    """The variables of one pattern. Constants and bound variables are filters on the scan; of a path of one step or more they are where it starts."""
     s, p, o = _terms(pattern)
+    value = lambda term: (bind or {}).get(term[1:]) if term.startswith("?") else term
+    own = triples.where(F.col("p") == p.rstrip("*+"))
     if p[-1] in "*+":
-        step = triples.where(F.col("p") == p[:-1]).select(F.col("s").alias("child"), F.col("o").alias("parent"))
-        df = closure(step, reflexive=p[-1] == "*").select(F.col("child").alias("s"), F.col("parent").alias("o"))
-    else:
-        df = triples.where(F.col("p") == p).select("s", "o")
-    keep = []
+        start = next(((side, value(term)) for side, term in (("parent", o), ("child", s)) if value(term) is not None), None)
+        step = own.select(F.col("s").alias("child"), F.col("o").alias("parent"))
+        own = closure(step, start=start).select(F.col("child").alias("s"), F.col("parent").alias("o"))
     for column, term in (("s", s), ("o", o)):
-        if term.startswith("?"):
-            keep.append(F.col(column).alias(term[1:]))
-        else:
-            df = df.where(F.col(column) == term)
-    return df.select(*keep)
-
-
-def match(triples: DataFrame, patterns: Sequence[str]) -> DataFrame:
+        if value(term) is not None:
+            own = own.where(F.col(column) == value(term))
+    return own.select(*(F.col(column).alias(term[1:]) for column, term in (("s", s), ("o", o)) if term.startswith("?")))
+
+
+def _with_path(triples: DataFrame, out: DataFrame | None, pattern: str, bind: Mapping[str, str]) -> DataFrame:
+    """out joined with a path of any length, none included: a node reaches itself, whether it has such an edge or not."""
+    s, _, o = _terms(pattern)
+    longer = one_pattern(triples, pattern, bind)
+    ends = [t[1:] for t in (s, o) if t.startswith("?")]
+    if len(ends) == 2:
+        longer = longer.where(F.col(ends[0]) != F.col(ends[1]))
+    value = lambda term: bind.get(term[1:]) if term.startswith("?") else term
+    if out is None:  # no other pattern says which nodes there are: all terms of the graph
+        node = triples.select(F.col("s").alias("n")).union(triples.select("o")).distinct()
+        none = node.select(*(F.col("n").alias(e) for e in ends))
+    else:
+        known = [e for e in ends if e in out.columns]
+        if not known:
+            raise ValueError(f"{pattern!r} shares no variable with the patterns before it")
+        none = out
+        for e in ends:
+            none = none.where(F.col(e) == F.col(known[0])) if e in out.columns else none.withColumn(e, F.col(known[0]))
+        longer = out.join(longer, known)
+    for term in (s, o):
+        if value(term) is not None:
+            none = none.where(F.col(ends[0]) == value(term))
+    if len(ends) < 2:  # the other end is a constant, which reaches itself in no step
+        constant = next(t for t in (s, o) if not t.startswith("?"))
+        longer = longer.where(F.col(ends[0]) != constant)
+    return longer.unionByName(none)
+
+
+def match(triples: DataFrame, patterns: Sequence[str], bind: Mapping[str, str] | None = None) -> DataFrame:
+    """Patterns joined in the order given; paths of any length, none included, come last, as they need the nodes that the others name."""
+    bind = bind or {}
+    star = lambda x: _terms(x)[1].endswith("*")
+    waiting = sorted(patterns, key=star)
     out = None
-    for pattern in patterns:
-        df = one_pattern(triples, pattern)
-        if out is None:
-            out = df
+    while waiting:
+        # the next pattern that shares a variable with those before it
+        fits = [x for x in waiting if out is None or {t[1:] for t in _terms(x)[::2]} & set(out.columns)]
+        if not fits:
+            raise ValueError(f"{waiting[0]!r} shares no variable with the patterns before it")
+        pattern = fits[0]
+        waiting.remove(pattern)
+        if star(pattern):
+            out = _with_path(triples, out, pattern, bind)
             continue
-        shared = [c for c in out.columns if c in df.columns]
-        if not shared:
-            raise ValueError(f"{pattern!r} shares no variable with the patterns before it")
-        out = out.join(df, shared)
+        df = one_pattern(triples, pattern, bind)
+        out = df if out is None else out.join(df, [c for c in out.columns if c in df.columns])
     return out
 
 
 def run(triples: DataFrame, q: Query, **bind: str) -> DataFrame:
-    """bind: values of variables, compared as text."""
+    """bind: values of variables, compared as text, which reach every scan that names them."""
     parts = [q.where, q.union] if q.union else [q.where]
     out = None
     for patterns in parts:
-        df = match(triples, patterns)
-        for k, v in bind.items():
-            if k in df.columns:
-                df = df.where(F.col(k) == v)
+        df = match(triples, patterns, bind)
         keep = df.columns if out is None else [c for c in out.columns if c in df.columns]
         out = df if out is None else out.select(keep).union(df.select(keep))
     for group in q.optional:
-        df = match(triples, group)
+        df = match(triples, group, bind)
         out = out.join(df, [c for c in out.columns if c in df.columns], "left")
     for group, condition in q.absent:
-        df = match(triples, group)
+        df = match(triples, group, bind)
         shared = [c for c in out.columns if c in df.columns]
         out = out.join(df.where(condition or "true").select(shared).distinct(), shared, "left_anti")
     for condition in q.filters:
@@ -106,7 +143,7 @@ def to_sql(q: Query, **bind: str) -> tuple[str, list[str]]:
         source, where = "triples", [f"p = '{p}'"]
         if p[-1] in "*+":
             name = "path_" + "".join(c for c in p[:-1] if c.isalnum()) + ("_r" if p[-1] == "*" else "")
-            loops = f" UNION SELECT s, s FROM triples WHERE p = '{p[:-1]}' UNION SELECT o, o FROM triples WHERE p = '{p[:-1]}'" if p[-1] == "*" else ""
+            loops = " UNION SELECT s, s FROM triples UNION SELECT o, o FROM triples" if p[-1] == "*" else ""  # every term reaches itself
             paths[name] = f"{name}(s, o) AS (SELECT s, o FROM (SELECT s, o FROM triples WHERE p = '{p[:-1]}'{loops}) UNION SELECT r.s, t.o FROM {name} r JOIN triples t ON t.p = '{p[:-1]}' AND t.s = r.o)"
             source, where = name, []
         keep = []

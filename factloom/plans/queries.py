@@ -35,13 +35,13 @@ def register(name: str, sql: str | None, views: str = "", recursive: bool = Fals
 # -- scalars: one column of values for each function, over a whole table
 
 _SCALARS: list[tuple[str, str, str, Callable[[], Column], str]] = [
-    ("x01_normalize_surface", "documents", "doc_id", lambda: X.normalize_surface(F.substring("text", 1, 60)), r"trim(regexp_replace(lower(substr(text, 1, 60)), '\s+', ' ', 'g'))"),
-    ("x02_normalize_name", "documents", "doc_id", lambda: X.normalize_name(F.substring("text", 1, 60)), r"trim(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"),
+    ("x01_normalize_surface", "documents", "doc_id", lambda: X.normalize_surface(F.col("text")), r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))"),
+    ("x02_normalize_name", "documents", "doc_id", lambda: X.normalize_name(F.col("text")), r"trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"),
     ("x05_source_urn", "documents", "doc_id", lambda: X.source_urn(F.concat(F.col("source"), F.lit(" feed/"), F.col("lang"))), "'urn:source:' || url_encode(source || ' feed/' || lang)"),
     ("x06_iri_tail", "pages", "page_id", lambda: X.iri_tail(F.col("url")), r"regexp_extract(url, '([^/#:]*)$', 1)"),
-    ("x07_prefix", "pages", "page_id", lambda: F.when(F.startswith("url", F.lit("https://")), F.substr("url", F.lit(9))).otherwise(F.col("url")), "CASE WHEN starts_with(url, 'https://') THEN substr(url, 9, 1000) ELSE url END"),
+    ("x07_prefix", "pages", "page_id", lambda: F.when(F.startswith("url", F.lit("https://")), F.substr("url", F.lit(9))).otherwise(F.col("url")), "CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END"),
     ("x08_regex_slots", "pages", "page_id", lambda: F.regexp_extract("url", r"(https?://[^\s<>\"'?#]+)", 1), r"regexp_extract(url, '(https?://[^\s<>""''?#]+)', 1)"),
-    ("x10_span_check", "documents", "doc_id", lambda: X.span_matches(F.col("text"), F.lit(2), F.lit(8), F.substring("text", 3, 6)).cast("string"), "CASE WHEN length(text) >= 3 AND substr(text, 3, 6) = substr(text, 3, 6) THEN 'true' WHEN substr(text, 3, 6) = '' THEN 'true' ELSE 'false' END"),
+    ("x10_span_check", "documents", "doc_id", lambda: X.span_matches(F.col("text"), (F.col("doc_id") % 5).cast("int"), (F.col("doc_id") % 5 + 6).cast("int"), F.substring("text", 3, 6)).cast("string"), "CAST(substr(text, CAST(doc_id % 5 + 1 AS BIGINT), 6) = substr(text, 3, 6) AS VARCHAR)"),
     ("x11_prefix_cap", "documents", "doc_id", lambda: F.left(F.trim("text"), F.lit(200)), "left(trim(text, ' '), 200)"),
     ("x12_label_preference", "part", "p_partkey", lambda: X.first_filled(F.when(F.col("p_size") > 25, F.col("p_brand")), F.when(F.col("p_size") > 10, F.lit("  ")), F.col("p_name")), "coalesce(nullif(trim(CASE WHEN p_size > 25 THEN p_brand END), ''), nullif(trim(CASE WHEN p_size > 10 THEN '  ' END), ''), nullif(trim(p_name), ''))"),
     ("x13_sha256", "documents", "doc_id", lambda: X.content_sha256(F.col("text")), "sha256(text)"),
@@ -56,7 +56,7 @@ _SCALARS: list[tuple[str, str, str, Callable[[], Column], str]] = [
     ("x23_finite_float", "events", "event_id", lambda: X.finite(F.when(F.col("event_id") % 5 == 0, "NaN").when(F.col("event_id") % 5 == 1, "x1").otherwise(F.get_json_object("props", "$.k"))), "CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS DOUBLE) END"),
     ("x25_point_iri", "customer", "c_custkey", lambda: X.point_iri((F.col("c_custkey") % 180 - 90).cast("double"), (F.col("c_custkey") % 360 - 180).cast("double")), "format('urn:geo:crs84:{:.6f}:{:.6f}', CAST(c_custkey % 180 - 90 AS DOUBLE), CAST(c_custkey % 360 - 180 AS DOUBLE))"),
     ("x27_bounded_ratio", "part", "p_partkey", lambda: X.bounded_ratio(F.col("p_size") - 5, F.col("p_partkey") % 40), "greatest(0.0, least(1.0, coalesce((p_size - 5)::DOUBLE / nullif(p_partkey % 40, 0), 0.0)))"),
-    ("x35_redact", "documents", "doc_id", lambda: X.redact_secrets(F.concat(F.lit("token = "), "source", F.lit("x password:abc"), F.lit(" user=me"))), "'token = [redacted] password:[redacted] user=me'"),
+    ("x35_redact", "documents", "doc_id", lambda: X.redact_secrets(F.concat(F.lit("token = "), "source", F.lit("x user="), F.col("doc_id").cast("string"), F.lit(" password:"), "lang", F.lit(" end"))), "'token = [redacted] user=' || doc_id || ' password:[redacted] end'"),
     ("x37_first_class", "part", "p_partkey", lambda: X.first_mapped(F.array("p_brand", "p_type"), {"ECONOMY": "Platform", "STANDARD": "Facility", "Brand#1": "Organization"}), "CASE WHEN p_brand = 'Brand#1' THEN 'Organization' WHEN p_type = 'ECONOMY' THEN 'Platform' WHEN p_type = 'STANDARD' THEN 'Facility' END"),
     ("x38_levenshtein", "part", "p_partkey", lambda: F.levenshtein("p_name", "p_type").cast("long"), "levenshtein(p_name, p_type)"),
     ("x39_record_key", "part", "p_partkey", lambda: F.coalesce(X.first_filled(F.when(F.col("p_size") > 30, F.col("p_brand")), F.when(F.col("p_size") > 20, F.col("p_type"))), F.sha2("p_name", 256)), "coalesce(CASE WHEN p_size > 30 THEN p_brand END, CASE WHEN p_size > 20 THEN p_type END, sha256(p_name))"),
@@ -69,16 +69,6 @@ for _name, _table, _key, _col, _sql in _SCALARS:
 
 
 # whole texts; x01 and x02 normalise their first 60 characters, as their SQL does
-@register("x01_normalize_surface_whole", None)
-def _x01_whole(s, d):
-    return M.load(s, d, "documents").select(F.col("doc_id").alias("key"), X.normalize_surface(F.col("text")).alias("value"))
-
-
-@register("x02_normalize_name_whole", None)
-def _x02_whole(s, d):
-    return M.load(s, d, "documents").select(F.col("doc_id").alias("key"), X.normalize_name(F.col("text")).alias("value"))
-
-
 @register("x04_overlap_coefficient", """SELECT p_partkey AS key, round(len(list_intersect(string_split(p_name, ' '), string_split(lower(p_type || ' ' || p_name || ' x'), ' ')))::DOUBLE / least(len(list_distinct(string_split(p_name, ' '))), len(string_split(lower(p_type || ' ' || p_name || ' x'), ' '))), 6) AS value FROM part""")
 def _x04(s, d):
     alias = F.lower(F.concat_ws(" ", "p_type", "p_name", F.lit("x")))
@@ -102,9 +92,12 @@ def _x31(s, d):
     return M.load(s, d, "events").select("event_id", F.variant_get(v, "$.k", "bigint").alias("k"), F.variant_get(v, "$.missing", "string").alias("missing"))
 
 
-@register("x34_datatype", "SELECT l_orderkey, l_linenumber, 'xsd:decimal' AS datatype, 'xsd:string' AS other FROM lineitem")
+@register("x34_datatype", """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN 'xsd:string' WHEN 1 THEN 'xsd:integer' WHEN 2 THEN 'xsd:decimal' WHEN 3 THEN 'xsd:boolean' ELSE CASE WHEN l_orderkey % 2 = 0 THEN 'xsd:integer' ELSE 'xsd:string' END END AS datatype FROM lineitem""")
 def _x34(s, d):
-    return M.load(s, d, "lineitem").select("l_orderkey", "l_linenumber", X.datatype_iri(F.col("l_quantity").cast("string")).alias("datatype"), X.datatype_iri(F.col("l_returnflag")).alias("other"))
+    n = F.col("l_linenumber") % 5
+    signed = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("-"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("1e"), F.col("l_suppkey").cast("string")))
+    text = F.when(n == 0, F.col("l_returnflag")).when(n == 1, F.col("l_partkey").cast("string")).when(n == 2, F.concat(F.lit("0."), F.col("l_partkey").cast("string"))).when(n == 3, (F.col("l_suppkey") % 2 == 0).cast("string")).otherwise(signed)
+    return M.load(s, d, "lineitem").select("l_orderkey", "l_linenumber", X.datatype_iri(text).alias("datatype"))
 
 
 @register("x03_fold_text", None)
@@ -172,9 +165,9 @@ def _q06(s, d):
     return facts.resolve_location(_valid(s, d)).where("status = 'unique'").select("subject_id", "location")
 
 
-@register("q05_current_location", "SELECT subject_id, min(object_value) AS location FROM assertions WHERE status = 'asserted' AND valid_until IS NULL GROUP BY 1 HAVING count(DISTINCT object_value) = 1", "assertions")
+@register("q05_current_location", f"+{_VALID} SELECT subject_id, min(object_value) AS location FROM valid GROUP BY 1 HAVING count(DISTINCT object_value) = 1", "assertions")
 def _q05(s, d):
-    return facts.resolve_location(facts.as_of(M.assertions(s, d), "2100-01-01 00:00:00")).where("status = 'unique'").select("subject_id", "location")
+    return facts.current_location(M.assertions(s, d), AT)
 
 
 @register("a07_location_values", f"+{_VALID} SELECT subject_id, object_value, max(valid_from) AS latest, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources, string_agg(assertion_id, ',' ORDER BY assertion_id) AS assertion_ids FROM valid GROUP BY 1, 2", "assertions")
@@ -363,9 +356,11 @@ def _o04(s, d):
 # -- names, paging, references
 
 
-@register("q01_entity_lookup", "SELECT entity_id, entity_type, name FROM entities WHERE entity_id = 'urn:world:entity:part-7'", "entities")
+@register("q01_entity_lookup", "+wanted AS (SELECT unnest(['urn:world:entity:part-7', 'urn:world:entity:customer-12', 'urn:world:entity:customer-13', 'urn:world:entity:customer-14', 'urn:world:entity:customer-0']) AS entity_id) SELECT e.entity_id, entity_type, name FROM entities e JOIN wanted USING (entity_id) WHERE entity_id NOT IN (SELECT 'urn:world:entity:customer-' || duplicate FROM merges)", "entities merges")
 def _q01(s, d):
-    return M.entities(s, d).where("entity_id = 'urn:world:entity:part-7'")
+    key = lambda c: F.concat(F.lit("urn:world:entity:customer-"), F.col(c).cast("string")).alias(c)
+    merged = C.redirects(M.merges(s, d)).select(key("duplicate"), key("survivor"))
+    return identity.entity_lookup(M.entities(s, d), ["urn:world:entity:part-7", *(f"urn:world:entity:customer-{i}" for i in (12, 13, 14, 0))], merged)
 
 
 @register("q02_entity_search", "SELECT DISTINCT e.entity_id, e.name FROM entities e JOIN names n ON e.entity_id = n.entity_id WHERE trim(regexp_replace(lower(n.surface), '\\s+', ' ', 'g')) IN ('red widget', 'brand#3') ORDER BY e.name, e.entity_id LIMIT 100 OFFSET 0", "entities names")
@@ -464,20 +459,16 @@ def _edges(s, d):
     return e.groupBy("source", "target").agg(F.min("k").alias("edge_id")).withColumn("rank", F.col("edge_id"))
 
 
-@register("q04_traverse_two_hops", f"""WITH {_EDGES}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY edge_id) AS nth FROM edges) WHERE nth <= 5),
-    one AS (SELECT source AS start, target, edge_id, [source, target] AS nodes FROM top WHERE source IN ('s1', 's2', 's3') AND target <> source),
-    fresh AS (SELECT start, target, arg_min(nodes, edge_id) AS nodes, min(edge_id) AS edge_id FROM one GROUP BY 1, 2),
-    two AS (SELECT f.start, list_append(f.nodes, t.target) AS nodes, f.edge_id || ',' || t.edge_id AS edges FROM fresh f JOIN top t ON f.target = t.source WHERE NOT list_contains(f.nodes, t.target))
-    SELECT start, CAST(1 AS INT) AS hops, array_to_string(nodes, '>') AS nodes, edge_id::VARCHAR AS edges FROM one UNION ALL SELECT start, 2, array_to_string(nodes, '>'), edges FROM two""")
+@register("q04_traverse_two_hops", f"""WITH {_EDGES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY edge_id) AS nth FROM edges), top AS (SELECT * FROM ranked WHERE nth <= 100), hubs AS (SELECT source FROM ranked WHERE nth = 101),
+    r1 AS (SELECT source AS start, target, edge_id FROM top WHERE source IN ('s1', 's2', 's3')), used AS (SELECT start, count(*) AS n FROM r1 GROUP BY 1),
+    one AS (SELECT start, target, edge_id, [start, target] AS nodes FROM r1 WHERE target <> start),
+    nodes AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY edge_id) + 1 AS nth FROM (SELECT start, target, arg_min(nodes, edge_id) AS nodes, min(edge_id) AS edge_id FROM one GROUP BY 1, 2)),
+    fresh AS (SELECT * FROM nodes WHERE nth <= 500),
+    r2 AS (SELECT f.start, f.nodes, f.edge_id AS e1, t.target, t.edge_id AS e2, row_number() OVER (PARTITION BY f.start ORDER BY f.edge_id, t.edge_id) + u.n AS nth FROM fresh f JOIN top t ON f.target = t.source JOIN used u ON u.start = f.start),
+    cut AS (SELECT source AS start FROM hubs UNION SELECT f.start FROM fresh f JOIN hubs h ON f.target = h.source UNION SELECT start FROM r2 WHERE nth > 2000 UNION SELECT start FROM nodes WHERE nth > 500),
+    paths AS (SELECT start, CAST(1 AS INT) AS hops, array_to_string(nodes, '>') AS nodes, edge_id::VARCHAR AS edges FROM one UNION ALL SELECT start, 2, array_to_string(list_append(nodes, target), '>'), e1 || ',' || e2 FROM r2 WHERE nth <= 2000 AND NOT list_contains(nodes, target))
+    SELECT *, start IN (SELECT start FROM cut) AS truncated FROM paths""")
 def _q04(s, d):
-    starts = s.createDataFrame([("s1",), ("s2",), ("s3",)], "start string")
-    p = traverse.hop_paths(_edges(s, d), starts, 2, per_node=5)
-    return p.select("start", "hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ",").alias("edges"))
-
-
-# q04 and its SQL follow 5 edges a node; this follows the contract's page of 100 and tells where there are more
-@register("q04_traverse_two_hops_page", None)
-def _q04_page(s, d):
     starts = s.createDataFrame([("s1",), ("s2",), ("s3",)], "start string")
     p = traverse.hop_paths(_edges(s, d), starts, 2)
     return p.select("start", "hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ",").alias("edges"), "truncated")
@@ -542,10 +533,14 @@ def _i04(s, d):
     return identity.merge_preview(M.merges(s, d), M.load(s, d, "customer").select(F.col("c_custkey").alias("entity_id")), M.load(s, d, "orders").select(F.col("o_custkey").alias("entity_id")))
 
 
-@register("i06_cannot_link", "SELECT survivor, duplicate FROM merges WHERE duplicate % 20 = 3", "merges")
+# Customers 2, 3 and 4 of every ten are one component after the merges; pairs of a 4 and the next ten's 5 must not be linked, and 3 into 5 is proposed.
+@register("i06_cannot_link", "SELECT c_custkey + 3 AS survivor, c_custkey + 1 AS duplicate FROM customer WHERE c_custkey % 20 = 2")
 def _i06(s, d):
-    m = M.merges(s, d)
-    return identity.forbidden_merges(m, m.where("duplicate % 20 = 3").select(F.col("duplicate").alias("left_id"), F.col("survivor").alias("right_id")), s.createDataFrame([], "entity_id long, component long"))
+    c = M.load(s, d, "customer").where("c_custkey % 10 = 2")
+    wanted = c.select((F.col("c_custkey") + 3).alias("survivor"), (F.col("c_custkey") + 1).alias("duplicate"))
+    never = c.where("c_custkey % 20 = 2").select((F.col("c_custkey") + 5).alias("right_id"), (F.col("c_custkey") + 2).alias("left_id"))
+    joined = M.merges(s, d).select("duplicate", "survivor", "sequence").union(c.select((F.col("c_custkey") + 5), (F.col("c_custkey") + 3), F.col("c_custkey")))
+    return identity.forbidden_merges(wanted, never, identity.merge_members(C.redirects(joined)))
 
 
 @register("j15_blocked_pairs", "SELECT count(*) AS pairs, sum(l) AS left_sum, sum(r) AS right_sum FROM (SELECT DISTINCT c.c_custkey AS l, s.s_suppkey AS r FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey OR substr(c.c_name, 10, 9) = substr(s.s_name, 10, 9))")
@@ -599,16 +594,8 @@ def _j21(s, d):
     return identity.hard_negatives(rows, "s_nationkey", "s_name").agg(F.count("*").alias("pairs"), F.sum("left_key").alias("l"), F.sum("right_key").alias("r"))
 
 
-@register("j22_shared_identifiers", "SELECT DISTINCT a.l_suppkey AS left_id, b.l_suppkey AS right_id FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_linenumber = 7) a JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_linenumber = 7) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey")
+@register("j22_shared_identifiers", "SELECT DISTINCT a.l_suppkey AS left_id, b.l_suppkey AS right_id FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) a JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey")
 def _j22(s, d):
-    a = M.load(s, d, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("left_id"), "l_orderkey").distinct()
-    b = a.select(F.col("left_id").alias("right_id"), "l_orderkey")
-    return a.join(b, "l_orderkey").where("left_id < right_id").select("left_id", "right_id").distinct()
-
-
-# j22 and its SQL read the lines of number 7 alone; this reads all lines
-@register("j22_shared_identifiers_whole", None)
-def _j22_whole(s, d):
     a = M.load(s, d, "lineitem").select(F.col("l_suppkey").alias("left_id"), "l_orderkey").distinct()
     b = a.select(F.col("left_id").alias("right_id"), "l_orderkey")
     return a.join(b, "l_orderkey").where("left_id < right_id").select("left_id", "right_id").distinct()
@@ -779,5 +766,23 @@ _BINDINGS = {
 }
 for _name in patterns.TEMPLATES:
     _query, _bind = patterns.template(_name, **_VALUES), _BINDINGS.get(_name, {})
-    QUERIES[f"cq_{_name}"] = lambda s, d, q=_query, b=_bind: patterns.run(T.triples(s, d), q, **b)
+    QUERIES[f"cq_{_name}"] = lambda s, d, q=_query, b=_bind: patterns.run(T.triples(s, d, patterns.predicates(q)), q, **b)
     ORACLE_SQL[f"cq_{_name}"] = T.oracle(*patterns.to_sql(_query, **_bind))
+
+
+def _sentences(s, d):
+    """A report a supplier; what it says differs by key: a place, a membership, both, or nothing."""
+    r = F.col("s_suppkey") % 4
+    a = F.concat(F.lit("Unit "), F.col("s_suppkey").cast("string"), F.lit(" is based at Camp "), F.col("s_nationkey").cast("string"))
+    b = F.concat(F.lit("Đội "), F.col("s_suppkey").cast("string"), F.lit(" thuộc Vùng "), F.col("s_nationkey").cast("string"), F.lit(" từ 2026-05-01"))
+    return M.load(s, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.when(r == 0, F.concat(a, F.lit("."))).when(r == 1, b).when(r == 2, F.concat(a, F.lit(", "), b)).otherwise("Nothing here.").alias("text"))
+
+
+@register("x09_fact_patterns", """WITH t AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 4 AS r FROM supplier),
+    a AS (SELECT k AS doc_id, 'Unit ' || k AS subject_name, 'urn:kg:core#locatedAt' AS predicate_iri, 'Camp ' || n AS object_value, CAST(NULL AS VARCHAR) AS valid_from, 0 AS span_start, 'Unit ' || k || ' is based at Camp ' || n AS exact_text FROM t WHERE r IN (0, 2)),
+    b AS (SELECT k, 'Đội ' || k, 'urn:kg:core#memberOf', 'Vùng ' || n, '2026-05-01T00:00:00Z', CASE WHEN r = 2 THEN length('Unit ' || k || ' is based at Camp ' || n) + 1 ELSE 0 END, CASE WHEN r = 2 THEN ' ' ELSE '' END || 'Đội ' || k || ' thuộc Vùng ' || n || ' từ 2026-05-01' FROM t WHERE r IN (1, 2))
+    SELECT *, span_start + length(exact_text) AS span_end FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+def _x09(s, d):
+    from ..operators.ask import extract_facts
+
+    return extract_facts(_sentences(s, d)).select("doc_id", "subject_name", "predicate_iri", "object_value", "valid_from", "span_start", "span_end", "exact_text")

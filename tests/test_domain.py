@@ -189,6 +189,48 @@ def test_closure_and_cycles(spark):
 EDGES = [("a-b", "a", "b", 1), ("a-d", "a", "d", 2), ("b-c", "b", "c", 3), ("d-c", "d", "c", 4), ("c-a", "c", "a", 5), ("c-e", "c", "e", 6)]
 
 
+def test_closure_from_one_node(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("x", "y")], "child string, parent string")
+    pairs = lambda df: sorted((r.child, r.parent, r.depth) for r in df.collect())
+    whole = pairs(closure.closure(e, reflexive=True))
+    for side, at in (("child", 0), ("parent", 1)):
+        assert pairs(closure.closure(e, reflexive=True, start=(side, "a"))) == [p for p in whole if p[at] == "a"]
+
+
+def test_paths_of_no_step(spark):
+    """p* holds for a node without such an edge; bound variables start the path."""
+    g = spark.createDataFrame([("n1", "partOf", "r1"), ("o1", "at", "n1"), ("o2", "at", "r1"), ("o3", "at", "lone")], "s string, p string, o string")
+    q = patterns.Query(["?loc partOf* ?region", "?org at ?loc"], {"org": "org", "region": "region"})
+    want = {("o1", "n1"), ("o1", "r1"), ("o2", "r1"), ("o3", "lone")}
+    assert {tuple(r) for r in patterns.run(g, q).collect()} == want
+    for region in ("r1", "lone", "n1"):
+        assert {tuple(r) for r in patterns.run(g, q, region=region).collect()} == {x for x in want if x[1] == region}
+    fixed = patterns.Query(["?org at ?loc", "?loc partOf* r1"], {"org": "org"})
+    assert sorted(r.org for r in patterns.run(g, fixed).collect()) == ["o1", "o2"]
+    alone = patterns.Query(["?x partOf* ?y"], {"x": "x", "y": "y"})
+    assert {tuple(r) for r in patterns.run(g, alone).collect()} == {(n, n) for n in ("n1", "r1", "o1", "o2", "o3", "lone")} | {("n1", "r1")}
+
+
+def test_traversal_bounds(spark):
+    edges = [(f"e{i:03}", "a", f"b{i}", 0) for i in range(30)] + [(f"f{i}-{j}", f"b{i}", f"c{i}-{j}", j) for i in range(30) for j in range(4)]
+    frame, start = spark.createDataFrame(edges, "edge_id string, source string, target string, rank int"), spark.createDataFrame([("a",)], "start string")
+    for max_edges, max_nodes, want, cut in ((2000, 500, 150, False), (50, 500, 50, True), (2000, 11, 70, True), (150, 31, 150, False)):
+        got = traverse.hop_paths(frame, start, 2, max_edges=max_edges, max_nodes=max_nodes).collect()
+        assert len(got) == want and all(r.truncated == cut for r in got)
+    tied = spark.createDataFrame([("urn:a-very-long-common-prefix-b", "s", "x", 1), ("urn:a-very-long-common-prefix-a", "s", "x", 1), ("z", "x", "y", 1)], "edge_id string, source string, target string, rank int")
+    two = [r for r in traverse.hop_paths(tied, spark.createDataFrame([("s",)], "start string"), 2).collect() if r.hops == 2]
+    assert [r.edge_ids[0] for r in two] == ["urn:a-very-long-common-prefix-a"]
+
+
+def test_lookup_and_components(spark):
+    from factloom.operators import identity
+
+    red = spark.createDataFrame([("b", "a"), ("c", "a")], "duplicate string, survivor string")
+    ents = spark.createDataFrame([("a",), ("b",), ("d",)], "entity_id string")
+    assert rows(identity.entity_lookup(ents, ["a", "b", "x"], red)) == [("a",)]
+    assert rows(identity.merge_members(red)) == [("a", "a"), ("b", "a"), ("c", "a")]
+
+
 def test_traversal(spark):
     edges = spark.createDataFrame(EDGES, "edge_id string, source string, target string, rank int")
     start = spark.createDataFrame([("a",)], "start string")
@@ -309,6 +351,34 @@ def test_fact_patterns(spark):
     assert all(text[r.span_start : r.span_end] == r.exact_text for r in got)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Cảnh sát biển Việt Nam đặt tại Đà Nẵng từ 2026-05-01. Vietnam Coast Guard is part of Bộ Quốc phòng Việt Nam. Bộ Quốc phòng Việt Nam có trụ sở tại Hà Nội.", [("Cảnh sát biển Việt Nam", "Đà Nẵng", "2026-05-01T00:00:00Z"), ("Bộ Quốc phòng Việt Nam", "Hà Nội", None), ("Vietnam Coast Guard", "Bộ Quốc phòng Việt Nam", None)]),
+        ("Không có gì để trích xuất ở đây.", []),
+        ("Ab part of Cd", []),  # subject of two letters
+        ("Abc part of C", []),
+        ("Abc PART  OF Cde, more", [("Abc", "Cde", None)]),
+        ("Đơn vị X ĐẶT TẠI Huế", []),  # only English phrases in any case
+        ("Unit 1 since 2026-01-02 is based at Hue", [("Unit 1 since 2026-01-02", "Hue", "2026-01-02T00:00:00Z")]),
+        ("Unit 1 is based at Hue since 2026-01-02 with a band", [("Unit 1", "Hue since 2026-01-02 with a band", "2026-01-02T00:00:00Z")]),
+        ("Unit 1 is based at Hue since 2026-01-02T03:04:05Z", [("Unit 1", "Hue", "2026-01-02T03:04:05Z")]),
+        ("his part of it is part of all that", [("his", "it is part of all that", None)]),
+        ("Xyz is part of " + "w" * 90, [("Xyz", "w" * 80, None)]),
+        ("v" * 90 + " thuộc Vùng 1", [("v" * 80, "Vùng 1", None)]),
+    ],
+)
+def test_facts_of(text, want):
+    got = list(ask.facts_of(text))
+    assert [(g[0], g[3], g[4]) for g in got] == want
+    assert all(text[g[6] : g[7]] == g[8] for g in got)
+
+
+def test_slots():
+    assert ask.iris("Is <urn:a:1>, or (http://x.org/a?b) 'https://y' http:// there") == ["urn:a:1", "http://x.org/a?b)", "https://y"]
+    assert ask.instants("on 2026-01-02, 2026-01-02T03:04, 2026-01-02 03:04:05.6Z or 2026-01-02T03:04+07:00 not 12026-01-02 nor 2026-01-023") == ["2026-01-02", "2026-01-02T03:04", "2026-01-02 03:04:05.6Z", "2026-01-02T03:04+07:00"]
+
+
 # -- sources
 
 BOX = mappers.Bounds("box", 0, 98, 25, 122)
