@@ -5,21 +5,27 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder that spark.checkpoint.dir names; a temporary one only where that is unset and all run on one machine."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset and all run on one machine."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        place = tempfile.mkdtemp(prefix="factloom-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if not place:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            place = tempfile.mkdtemp(prefix="factloom-")
-        context.setCheckpointDir(place)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -34,13 +40,13 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", refl
     down = start is not None and start[0] == "parent"
     fixed, moving = ("parent", "child") if down else ("child", "parent")
     found = step if start is None else step.where(F.col(start[0]) == start[1])
-    frontier = _cut(found.withColumn("depth", F.lit(1)))
+    frontier = cut(found.withColumn("depth", F.lit(1)))
     known = [frontier]
     ahead = step.select(F.col(fixed).alias("mid"), F.col(moving).alias("end"))
     for depth in range(2, max_depth + 2):
         new = frontier.select(fixed, F.col(moving).alias("mid")).join(ahead, "mid").select(fixed, F.col("end").alias(moving)).distinct()
         old = reduce(DataFrame.union, known).select("child", "parent")
-        frontier = _cut(new.join(old, ["child", "parent"], "left_anti").select("child", "parent", F.lit(depth).alias("depth")))
+        frontier = cut(new.join(old, ["child", "parent"], "left_anti").select("child", "parent", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
         if depth > max_depth:
@@ -70,7 +76,7 @@ def redirects(merges: DataFrame, splits: DataFrame | None = None, max_depth: int
     for _ in range(rounds):
         ahead = now.select(F.col("duplicate").alias("mid"), F.col("survivor").alias("end"))
         joined = now.join(ahead, now.survivor == ahead.mid, "left")
-        new = _cut(joined.select("duplicate", F.coalesce("end", "survivor").alias("survivor"), F.col("end").isNotNull().alias("moved")))
+        new = cut(joined.select("duplicate", F.coalesce("end", "survivor").alias("survivor"), F.col("end").isNotNull().alias("moved")))
         now = new.select("duplicate", "survivor")
         if new.where("moved").isEmpty():
             return now

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import paging, scalars as X
 from ..operators import facts, gates, identity
+from ..operators.closure import shared_dir
 from ..sources import mappers, rdf
-from ..streaming.projector import checkpoint_of, once, project
+from ..sources.lake import Lake, read_snapshot, write_snapshot
+from ..sources.log import EVENT_SCHEMA, EventLog, with_columns
+from ..streaming.projector import StreamingProjector, checkpoint_of, once, project, unknown_retractions
 from . import testmap as M
 from .queries import _LAT, _LON, SCS, _coords, register
 
@@ -44,6 +49,93 @@ def _t03(s, d):
     return checkpoint_of(event_log(s, d))
 
 
+# -- log, lake and kept tables: written to the shared folder, and read back
+
+
+def _place(s, name):
+    return f"{shared_dir(s)}/factloom/{s.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _log_rows(s, d):
+    e = M.load(s, d, "events")
+    payload = F.to_json(F.struct(F.col("user_id").cast("string").alias("subject_id"), F.col("event_type").alias("source_id")))
+    kind = F.when(F.col("event_type") == "signup", "LocationObserved").otherwise("AssertionMade")
+    return e.select(F.col("event_id").cast("string").alias("event_id"), kind.alias("event_type"), F.when(F.col("event_id") % 2 == 0, 2).otherwise(4).alias("schema_version"), F.col("ts").cast("timestamp").alias("occurred_at"), payload.alias("payload"), F.col("ts").cast("timestamp").alias("valid_at"))
+
+
+@register("s03_log_append", "SELECT event_id, row_number() OVER (ORDER BY half, ts, CAST(event_id AS VARCHAR)) AS sequence FROM (SELECT event_id, ts, event_id % 2 AS half FROM events)")
+def _s03(s, d):
+    log, e = EventLog(s, _place(s, "log"), 50_000), _log_rows(s, d)
+    log.commit(e.where("schema_version = 2"), "even", "f")
+    log.commit(e.where("schema_version = 2"), "even", "f")  # a replay adds nothing
+    log.commit(e.where("schema_version = 4"))
+    return log.read().select(F.col("event_id").cast("long").alias("event_id"), "sequence")
+
+
+@register("s01_log_scan", "SELECT event_id, 6 AS schema_version, CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'AssertionMade' WHEN event_type = 'signup' THEN 'LocationObserved' ELSE 'AssertionMade' END AS upcast_type, CASE WHEN event_id % 2 = 0 THEN event_type END AS source FROM events")
+def _s01(s, d):
+    log = EventLog(s, _place(s, "log"))
+    log.commit(_log_rows(s, d))
+    return log.scan().select(F.col("event_id").cast("long").alias("event_id"), "schema_version", "upcast_type", F.get("source_ids", F.lit(0)).alias("source"))
+
+
+def _lake_rows(s, d):
+    return _log_rows(s, d).select("event_id", "event_type", F.col("schema_version").cast("tinyint").alias("schema_version"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at"), F.col("payload").alias("payload_json"), F.col("event_id").cast("long").alias("sequence"))
+
+
+def _lake(s, d):
+    lake, rows = Lake(s, _place(s, "lake")), _lake_rows(s, d)
+    lake.append(rows.where("sequence % 3 = 0"))
+    lake.append(rows.where("sequence % 3 <> 1"))  # a third of the rows is known already
+    return lake
+
+
+@register("s08_lake_write", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id % 3 <> 1")
+def _s08(s, d):
+    return _lake(s, d).read().select(F.col("event_id").cast("long").alias("event_id"), F.col("event_date").cast("string").alias("day"))
+
+
+@register("s10_compaction", "SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(1 AS BIGINT) AS files, count(*) AS n FROM events WHERE event_id % 3 <> 1 GROUP BY 1")
+def _s10(s, d):
+    lake = _lake(s, d)
+    lake.compact()
+    if not lake.verify().isEmpty() or lake.compact():
+        raise RuntimeError("the lake does not agree with its manifest")
+    day = F.substring("min_occurred_at", 1, 10)
+    return lake.manifest().groupBy(day.alias("day")).agg(F.count("*").alias("files"), F.sum("rows").alias("n"))
+
+
+@register("s13_lake_sql", "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type = 'signup' THEN 'LocationObserved' ELSE 'AssertionMade' END AS event_type, count(*) AS n FROM events WHERE event_id % 3 <> 1 GROUP BY 1, 2")
+def _s13(s, d):
+    return _lake(s, d).sql("SELECT CAST(event_date AS STRING) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+
+
+@register("s14_snapshot", "SELECT n_nationkey, n_name FROM nation")
+def _s14(s, d):
+    place, n = _place(s, "snapshots"), M.load(s, d, "nation").select("n_nationkey", "n_name")
+    write_snapshot(n.limit(3), place, "2026-01-01")
+    write_snapshot(n, place, "2026-02-01")
+    return read_snapshot(s, place)
+
+
+@register("t05_gold_tables", f"SELECT 'urn:assert:' || event_id AS assertion_id, user_id::VARCHAR AS subject_id, json_extract_string(props, '$.k') AS object_value, CASE WHEN st = 'superseded' AND nxt < event_id THEN 'x' ELSE st END AS status FROM (SELECT *, {_STATE} AS st, lead(event_id) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+def _t05(s, d):
+    """The kept tables after two micro-batches, of which the second repeats some events and changes rows of the first."""
+    place, log = _place(s, "stream"), with_columns(event_log(s, d), EVENT_SCHEMA)
+    p = StreamingProjector(s, f"{place}/in", f"{place}/out", EVENT_SCHEMA)
+    log.where("sequence % 7 < 4").write.parquet(f"{place}/in")
+    p.run().awaitTermination()
+    log.where("sequence % 7 >= 3").write.mode("append").parquet(f"{place}/in")
+    p.run().awaitTermination()
+    return p.tables()["assertions"].select("assertion_id", "subject_id", "object_value", "status")
+
+
+@register("t10_unknown_retractions", "SELECT 'r' || event_id AS event_id FROM events WHERE event_type = 'error' AND event_id % 5 = 0")
+def _t10(s, d):
+    log = event_log(s, d).where("event_type <> 'AssertionMade' or sequence % 10 <> 0")  # of every fifth assertion the making is lost
+    return unknown_retractions(log).select("event_id")
+
+
 # -- gates, consolidation, governance
 
 

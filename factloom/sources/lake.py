@@ -45,9 +45,18 @@ class Lake:
 
     # -- data
 
-    def read(self) -> DataFrame:
-        """Registered files only. The list of files is what the manifest is for: one entry a file, not a row."""
-        paths = [r.path for r in self.manifest().select("path").collect()]
+    def read(self, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+        """Registered files only, of the days asked for: the manifest is pruned by its times before paths reach the driver, one a file."""
+        entries = self.manifest()
+        if first_day is not None:
+            entries = entries.where(F.substring("max_occurred_at", 1, 10) >= first_day)
+        if last_day is not None:
+            entries = entries.where(F.substring("min_occurred_at", 1, 10) <= last_day)
+        df = self._files([r.path for r in entries.select("path").collect()])
+        day = F.col("event_date").cast("string")
+        return df.where((day >= first_day if first_day else F.lit(True)) & (day <= last_day if last_day else F.lit(True)))
+
+    def _files(self, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], LAKE + ", event_date date")
         return self.spark.read.schema(LAKE + ", event_date date").option("basePath", f"{self.root}/data").parquet(*paths)
@@ -75,19 +84,24 @@ class Lake:
         self._publish(self.manifest().union(entries))
         return entries.agg(F.sum("rows")).first()[0]
 
-    def compact(self) -> None:
-        """Rewrites the days into as few files as max_rows allows, publishes, then deletes what the old manifest named."""
-        old = [r.path for r in self.manifest().select("path").collect()]
+    def compact(self) -> list[str]:
+        """Rewrites the days that have more files than max_rows needs, and no others; publishes, then deletes what they were. Returns the days."""
+        day = F.substring("min_occurred_at", 1, 10)  # a file holds rows of one day
+        crowded = self.manifest().withColumn("day", day)
+        many = crowded.groupBy("day").agg(F.count("*").alias("files"), F.sum("rows").alias("rows")).where(F.col("files") > F.ceil(F.col("rows") / self.max_rows))
+        old = crowded.join(many.select("day"), "day").select("day", "path", "rows").collect()
         if not old:
-            return
-        before = self.read().count()
-        entries = self._described(self._write(self.read().drop("event_date", "batch")))
-        if entries.agg(F.sum("rows")).first()[0] != before:
+            return []
+        paths = [r.path for r in old]
+        entries = self._described(self._write(self._files(paths).drop("event_date", "batch")))
+        if entries.agg(F.sum("rows")).first()[0] != sum(r.rows for r in old):
             raise RuntimeError("compaction changed the number of rows; the old files stay")
-        self._publish(entries)
+        gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        self._publish(self.manifest().join(gone, "path", "left_anti").union(entries))
         fs, path = self._fs()
-        for p in old:
-            fs.delete(path(p), False)
+        for folder in sorted({p.rsplit("/", 1)[0] for p in paths}):  # a batch's day goes as a whole
+            fs.delete(path(folder), True)
+        return sorted({r.day for r in old})
 
     def verify(self) -> DataFrame:
         """path, problem (missing, unregistered, size, rows): files against the manifest; none if all agree."""

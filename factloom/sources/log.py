@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.closure import cut
+
 CURRENT_VERSION = 6
 EVENT_SCHEMA = "event_id string, event_type string, schema_version int, occurred_at timestamp, payload string, valid_at timestamp, sequence bigint, idempotency_key string, request_fingerprint string, operation_event_count int"
 
@@ -38,21 +40,39 @@ class EventLog:
         return found
 
     def commit(self, events: DataFrame, key: str | None = None, fingerprint: str | None = None) -> DataFrame:
-        """Appends all events or none: stamps sequences, rejects known or repeated ids, replays a known key."""
+        """Appends all events or none: stamps sequences in the order of occurred_at and event_id, rejects known or repeated ids, replays a known key.
+
+        The batch may be of any size: it is sorted by ranges, each range numbers its own rows, and only the number of rows a range meets the driver.
+        """
         if key is not None:
             earlier = self.find(key, fingerprint)
             if not earlier.isEmpty():
                 return earlier
-        fresh = with_columns(events, EVENT_SCHEMA)
+        fresh = with_columns(events, EVENT_SCHEMA).repartitionByRange("occurred_at", "event_id").withColumn("part", F.spark_partition_id())
+        fresh = cut(fresh)  # the parts must not be dealt anew
         if not fresh.groupBy("event_id").count().where("count > 1").isEmpty() or not fresh.join(self.read(), "event_id", "left_semi").isEmpty():
             raise LogConflict("an event id is already in the log or repeated")
         last = self.read().agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
-        n = fresh.count()
-        order = Window.orderBy("occurred_at", "event_id")  # one commit is one bounded batch
-        stamped = fresh.withColumn("sequence", (F.row_number().over(order) + last).cast("bigint")).withColumns({"idempotency_key": F.lit(key).cast("string"), "request_fingerprint": F.lit(fingerprint).cast("string"), "operation_event_count": F.lit(n)})
+        sizes = sorted((r["part"], r["n"]) for r in fresh.groupBy("part").agg(F.count("*").alias("n")).collect())
+        n, offsets = 0, []
+        for part, size in sizes:
+            offsets.append((part, last + n))
+            n += size
+        before = F.broadcast(self.spark.createDataFrame(offsets, "part int, before long"))  # one row a partition
+        nth = F.row_number().over(Window.partitionBy("part").orderBy("occurred_at", "event_id"))
+        stamped = fresh.join(before, "part").withColumn("sequence", (nth + F.col("before")).cast("bigint")).drop("part", "before")
+        stamped = stamped.withColumns({"idempotency_key": F.lit(key).cast("string"), "request_fingerprint": F.lit(fingerprint).cast("string"), "operation_event_count": F.lit(n).cast("int")})
         stamped.write.mode("append").option("maxRecordsPerFile", self.max_records).parquet(self.path)
         return self.read(last).where(F.col("sequence") <= last + n)
 
+    def scan(self) -> DataFrame:
+        """All events at the current version; a log with a break in its sequence, or with newer rows, raises."""
+        events = self.read()
+        broken = gaps(events).limit(1).collect()
+        if broken:
+            raise LogConflict(f"the log lacks sequences from {broken[0]['first_missing']} to {broken[0]['next'] - 1}")
+        return upcast(events)
+
 
 def with_columns(df: DataFrame, schema: str) -> DataFrame:
     """df with exactly these columns; those it lacks are null."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +55,38 @@ def project_tracks(events: DataFrame) -> DataFrame:
     return t.groupBy("track_id").agg(F.max_by(F.struct("entity_id", "observation_ids"), "sequence").alias("t")).select("track_id", "t.*")
 
 
-def project(events: DataFrame) -> dict[str, DataFrame]:
-    """All current tables. Arrival order does not matter: the sequence does."""
+def unknown_retractions(events: DataFrame) -> DataFrame:
+    """event_id, assertion_id of retractions of what was never made."""
+    gone = events.where("event_type = 'AssertionSuperseded'").select("event_id", _get("$.assertion_id").alias("assertion_id"))
+    return gone.join(events.where("event_type = 'AssertionMade'").select(_get("$.assertion_id").alias("assertion_id")), "assertion_id", "left_anti").select("event_id", "assertion_id")
+
+
+def project(events: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
+    """All current tables. Arrival order does not matter: the sequence does. strict: a retraction of what was never made raises."""
     e = once(events)
+    if strict:
+        bad = unknown_retractions(e).limit(1).collect()
+        if bad:
+            raise ValueError(f"event {bad[0]['event_id']} retracts the unknown assertion {bad[0]['assertion_id']}")
     r = project_redirects(e)
     return {"entities": project_entities(e), "assertions": canonical(project_assertions(e), "subject_id", r), "redirects": r, "tracks": project_tracks(e)}
 
 
+#: gold table -> its key, its projection, and the events that bear on it as (type, path of the key in the payload)
+GOLD = {
+    "entities": ("entity_id", project_entities, (("EntityCreated", "$.entity_id"),)),
+    "assertions": ("assertion_id", project_assertions, (("AssertionMade", "$.assertion_id"), ("AssertionMade", "$.supersedes"), ("AssertionSuperseded", "$.assertion_id"))),
+    "tracks": ("track_id", project_tracks, (("TrackObserved", "$.track_id"),)),
+}
+
+
+def touched(events: DataFrame, table: str) -> DataFrame:
+    """event_id, key: which rows of a gold table each event bears on."""
+    _, _, sources = GOLD[table]
+    parts = [events.where(F.col("event_type") == t).select("event_id", _get(path).alias("key")) for t, path in sources]
+    return reduce(DataFrame.union, parts).where("key is not null").distinct()
+
+
 def checkpoint_of(events: DataFrame) -> DataFrame:
     """last_sequence, applied, unknown: how far a projection is, and how many events have no effect on it."""
     known = F.col("event_type").isin(*TYPES)
@@ -67,11 +94,20 @@ def checkpoint_of(events: DataFrame) -> DataFrame:
 
 
 class StreamingProjector:
-    """Keeps bronze events deduplicated and gold tables current; each micro-batch is a new version that becomes visible at once."""
+    """Keeps bronze events deduplicated, and gold tables as versions: each micro-batch adds the rows that it changed.
+
+    A version is a folder v=<epoch> of each gold table; it counts once the marker of its epoch exists, which is written last,
+    so readers see all tables of a micro-batch or none. Of a key the newest version's row is current. A
+    batch that is repeated after a failure replaces its own folders.
+    """
 
     def __init__(self, spark: SparkSession, source: str, target: str, schema: str):
         self.spark, self.source, self.target, self.schema = spark, source.rstrip("/"), target.rstrip("/"), schema
 
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.target).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def _bronze(self) -> DataFrame:
         """Versions of one batch are one folder: a batch that is repeated after a failure overwrites its own folder."""
         try:
@@ -81,9 +117,26 @@ class StreamingProjector:
                 raise
             return self.spark.createDataFrame([], self.schema)
 
+    def published(self) -> list[int]:
+        """Epochs whose gold rows count."""
+        fs, path = self._fs()
+        place = path(f"{self.target}/published")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(place)) if fs.exists(place) else []
+
     def _apply(self, batch: DataFrame, epoch: int) -> None:
+        fs, path = self._fs()
+        fs.delete(path(f"{self.target}/published/{epoch}"), False)
         known = self._bronze().where(F.input_file_name().rlike(f"/epoch={epoch}/") == F.lit(False)).select("event_id")
-        once(batch).join(known, "event_id", "left_anti").select(batch.columns).write.mode("overwrite").parquet(f"{self.target}/bronze/epoch={epoch}")
+        place = f"{self.target}/bronze/epoch={epoch}"
+        once(batch).join(known, "event_id", "left_anti").select(batch.columns).write.mode("overwrite").parquet(place)
+        fresh, events = self.spark.read.schema(self.schema).parquet(place), self._bronze()
+        for table, (key, projection, _) in GOLD.items():
+            keys = touched(fresh, table).select("key").distinct()
+            # all events that bear on a key that the batch touched; what they say of other keys is not whole
+            own = events.join(touched(events, table).join(keys, "key", "left_semi").select("event_id").distinct(), "event_id", "left_semi")
+            rows = projection(own).join(keys.withColumnRenamed("key", key), key, "left_semi")
+            rows.write.mode("overwrite").parquet(f"{self.target}/gold/{table}/v={epoch}")
+        fs.create(path(f"{self.target}/published/{epoch}"), True).close()
 
     def run(self, **trigger):
         """Reads what is new, by default once; trigger(processingTime=...) follows."""
@@ -91,5 +144,18 @@ class StreamingProjector:
         writer = events.writeStream.foreachBatch(self._apply).option("checkpointLocation", f"{self.target}/checkpoint")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
+    def gold(self, table: str) -> DataFrame:
+        """The current rows of a gold table, read from its versions alone."""
+        key, projection, _ = GOLD[table]
+        layout = projection(self.spark.createDataFrame([], self.schema)).schema
+        epochs = self.published()
+        if not epochs:
+            return self.spark.createDataFrame([], layout)
+        names = layout.fieldNames()
+        rows = self.spark.read.option("basePath", f"{self.target}/gold/{table}").schema(layout.add("v", "long")).parquet(*(f"{self.target}/gold/{table}/v={v}" for v in epochs))
+        return rows.groupBy(key).agg(F.max_by(F.struct(*(n for n in names if n != key)), "v").alias("r")).select(key, "r.*").select(names)
+
     def tables(self) -> dict[str, DataFrame]:
-        return project(self._bronze())
+        """Gold tables; merges are few, and are followed when read."""
+        r = project_redirects(self._bronze())
+        return {"entities": self.gold("entities"), "assertions": canonical(self.gold("assertions"), "subject_id", r), "redirects": r, "tracks": self.gold("tracks")}
