@@ -33,17 +33,39 @@ def as_of(assertions: DataFrame, at, predicate: str | None = None, kind: str | N
 def as_of_join(probes: DataFrame, assertions: DataFrame, key: str = "subject_id", at: str = "at", width: str = "1 day") -> DataFrame:
     """Each probe (key, at) with the assertions of its subject valid at its time.
 
-    A range join as an equi join: an interval is dealt to every bucket of `width` that it touches, a probe to its own one, so a
-    subject with a long history is spread over its buckets. An open end is cut off after the last probe, whose time is one
-    aggregate of the probes.
+    A range join as an equi join on blocks of time (see `_dealt`), so a subject with a long history is spread over its blocks. An
+    open end is cut off after the last probe, whose time is one aggregate of the probes.
     """
-    step = seconds_of(width)
-    bucket = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / step)
+    bucket = _bucket(width)
     last = probes.agg(F.max(bucket(F.col(at))).alias("last"))
     live = assertions.where("status = 'asserted'").crossJoin(F.broadcast(last))  # one row
     end = F.least(F.coalesce(bucket(F.col("valid_until")), F.col("last")), F.col("last"))
-    spread = live.where(bucket(F.col("valid_from")) <= end).withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), end))).drop("last")
-    return probes.withColumn("bucket", bucket(F.col(at))).join(spread, [key, "bucket"]).where(valid_at(F.col("valid_from"), F.col("valid_until"), F.col(at))).drop("bucket")
+    spread = _dealt(live, bucket(F.col("valid_from")), end).drop("last")
+    placed = _placed(probes, bucket(F.col(at)), spread)
+    return placed.join(spread, [key, "_level", "_block"]).where(valid_at(F.col("valid_from"), F.col("valid_until"), F.col(at))).drop("_level", "_block")
+
+
+def _bucket(width: str):
+    step = seconds_of(width)
+    return lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / step)
+
+
+def _dealt(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+    """rows once for each block of time that they are dealt to, with _level and _block; rows that end before they begin go.
+
+    A block of level l is 2 ** l buckets. An interval of n buckets is dealt at the level whose blocks hold n, so it touches two
+    blocks at most, however long it is, and fills a quarter of what it touches at least.
+    """
+    spans = rows.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    spans = spans.withColumn("_level", F.ceil(F.log2((F.col("_last") - F.col("_first") + 1).cast("double"))).cast("int"))
+    return spans.withColumn("_block", F.explode(F.expr("sequence(shiftright(_first, _level), shiftright(_last, _level))"))).drop("_first", "_last")
+
+
+def _placed(rows: DataFrame, bucket: Column, dealt: DataFrame) -> DataFrame:
+    """rows once for each level that occurs in `dealt`, with the one block there that holds their bucket."""
+    levels = dealt.agg(F.collect_set("_level").alias("_levels"))  # one row of a few dozen levels
+    out = rows.withColumn("_bucket", bucket).crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels"))
+    return out.withColumn("_block", F.expr("shiftright(_bucket, _level)")).drop("_bucket", "_levels")
 
 
 def seconds_of(width: str) -> int:
@@ -92,19 +114,18 @@ def contradictions(valid: DataFrame) -> DataFrame:
 def overlapping_pairs(assertions: DataFrame, width: str = "1 day") -> DataFrame:
     """Unordered pairs of asserted rows of one subject and predicate that overlap and claim different objects.
 
-    Of two rows that overlap, the later start lies within the earlier one. So the earlier row is dealt to every bucket of time
-    that it covers, up to the last start, and the later one to the bucket of its start: rows meet only near in time, and each
-    pair once. A subject with a long history is spread over its buckets.
+    Of two rows that overlap, the later start lies within the earlier one. So the earlier row is dealt to blocks of time (see
+    `_dealt`), its open end cut off after the last start, and the later one to the blocks of its start: rows meet only near in
+    time, and each pair once. A subject with a long history is spread over its blocks.
     """
-    step = seconds_of(width)
-    bucket = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / step)
+    bucket = _bucket(width)
     live = assertions.where("status = 'asserted'").select("assertion_id", "subject_id", "predicate_iri", "object_value", "valid_from", "valid_until")
     last = live.agg(F.max(bucket(F.col("valid_from"))).alias("last"))
     end = F.least(F.coalesce(bucket(F.col("valid_until")), F.col("last")), F.col("last"))
-    early = live.crossJoin(F.broadcast(last)).where(bucket(F.col("valid_from")) <= end)  # one row
-    early = early.withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), end))).drop("last")
-    late = live.select(*(F.col(c).alias(f"b_{c}") for c in live.columns), bucket(F.col("valid_from")).alias("b_bucket"))
-    same = (F.col("subject_id") == F.col("b_subject_id")) & (F.col("predicate_iri") == F.col("b_predicate_iri")) & (F.col("bucket") == F.col("b_bucket")) & (F.col("object_value") != F.col("b_object_value"))
+    early = _dealt(live.crossJoin(F.broadcast(last)), bucket(F.col("valid_from")), end).drop("last")  # one row
+    late = _placed(live, bucket(F.col("valid_from")), early)
+    late = late.select(*(F.col(c).alias(f"b_{c}") for c in live.columns), F.col("_level").alias("b_level"), F.col("_block").alias("b_block"))
+    same = (F.col("subject_id") == F.col("b_subject_id")) & (F.col("predicate_iri") == F.col("b_predicate_iri")) & (F.col("_level") == F.col("b_level")) & (F.col("_block") == F.col("b_block")) & (F.col("object_value") != F.col("b_object_value"))
     order = (F.col("valid_from") < F.col("b_valid_from")) | ((F.col("valid_from") == F.col("b_valid_from")) & (F.col("assertion_id") < F.col("b_assertion_id")))
     pairs = early.join(late, same & order & overlaps(F.col("valid_from"), F.col("valid_until"), F.col("b_valid_from"), F.col("b_valid_until")))
     return pairs.select("subject_id", F.least("assertion_id", "b_assertion_id").alias("left_id"), F.greatest("assertion_id", "b_assertion_id").alias("right_id"))

@@ -21,8 +21,10 @@ def alias_tokens(names: DataFrame) -> DataFrame:
 def token_candidates(queries: DataFrame, names: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """query_id, entity_id, score: best overlap of a query's tokens with an owner's aliases, at least the threshold.
 
-    queries: query_id, name. Lossless blocking: a positive overlap needs a shared token. Equal names are answered once, and
-    equal aliases compared once, however many queries and owners have them.
+    queries: query_id, name. Equal names are answered once, and equal aliases compared once, however many queries and owners
+    have them. Lossless blocking, for a threshold above 0: of the smaller set's n tokens at least ceil(threshold * n) are shared, so
+    one of its n - ceil(threshold * n) + 1 rarest is. Only these are looked up among all tokens of the larger set, so a
+    token that nearly all names hold meets few others.
     """
     q = queries.select("query_id", normalize_name(F.col("name")).alias("query"))
     distinct = q.select("query").distinct()
@@ -30,13 +32,25 @@ def token_candidates(queries: DataFrame, names: DataFrame, threshold: float = FU
     forms = alias.select("alias").distinct()
     left = distinct.select("query", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     right = forms.select("alias", F.explode(F.array_distinct(tokens(F.col("alias")))).alias("token"))
-    pairs = left.join(right, "token").select("query", "alias").distinct()
+    seen = right.groupBy("token").agg(F.count("*").alias("n"))
+    left, right = _rare_first(left, "query", seen, threshold), _rare_first(right, "alias", seen, threshold)
+    a = left.where("query_leads").join(right, "token").where("query_size <= alias_size")
+    b = left.join(right.where("alias_leads"), "token").where("alias_size < query_size")
+    pairs = a.select("query", "alias").union(b.select("query", "alias")).distinct()
     score = overlap_coefficient(tokens(F.col("query")), tokens(F.col("alias")))
     good = pairs.withColumn("score", score).where(F.col("score") >= threshold)
     best = good.join(alias, "alias").groupBy("query", "entity_id").agg(F.max("score").alias("score"))
     return q.join(best, "query").select("query_id", "entity_id", "score")
 
 
+def _rare_first(sets: DataFrame, key: str, seen: DataFrame, threshold: float) -> DataFrame:
+    """key, token, the set's size, and whether the token is among the rarest of which one must be shared. seen: token, n."""
+    ranked = sets.join(seen, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("ts"))
+    size = F.size("ts")
+    ranked = ranked.withColumn("size", size).withColumn("lead", size - F.ceil(size * threshold - 1e-9) + 1)
+    return ranked.select(key, F.col("size").alias(f"{key}_size"), "lead", F.posexplode("ts").alias("pos", "t")).select(key, "t.token", f"{key}_size", (F.col("pos") < F.col("lead")).alias(f"{key}_leads"))
+
+
 def typed_lookup(queries: DataFrame, external: DataFrame, names: DataFrame, types: DataFrame) -> DataFrame:
     """query_id, outcome (match, ambiguous, none), entity_id: by external id first, by alias if that finds nothing.
 
@@ -74,6 +88,31 @@ def merge_preview(merges: DataFrame, names: DataFrame, external: DataFrame) -> D
     return out.select("survivor", "duplicate", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("moved_aliases", "moved_ids")))
 
 
+def split_outcome(splits: DataFrame, moved: DataFrame, owners: DataFrame, redirect: DataFrame) -> DataFrame:
+    """survivor, duplicate, binding, outcome (restored, retained): what undoing each merge gives back to the duplicate.
+
+    splits: survivor, duplicate; moved: duplicate, binding, as the merge recorded them (names, or source and id in one text);
+    owners: entity_id, binding now; redirect: merges in force. A binding that the survivor still owns is restored; one that it lost
+    is retained where it is. Splits of what is not merged into that survivor have no rows; `unsound_splits` names them.
+    """
+    sound = splits.select("survivor", "duplicate").join(redirect.select("survivor", "duplicate"), ["survivor", "duplicate"], "left_semi")
+    held = owners.select(F.col("entity_id").alias("survivor"), "binding", F.lit(True).alias("held")).distinct()
+    out = sound.join(moved.select("duplicate", "binding").distinct(), "duplicate").join(held, ["survivor", "binding"], "left")
+    return out.select("survivor", "duplicate", "binding", F.when(F.col("held"), "restored").otherwise("retained").alias("outcome"))
+
+
+def unsound_splits(splits: DataFrame, redirect: DataFrame) -> DataFrame:
+    """survivor, duplicate of splits whose duplicate is not merged into that survivor."""
+    return splits.select("survivor", "duplicate").join(redirect.select("survivor", "duplicate"), ["survivor", "duplicate"], "left_anti")
+
+
+def owners_after_splits(owners: DataFrame, outcome: DataFrame) -> DataFrame:
+    """entity_id, binding after the splits: restored bindings pass from the survivor to the duplicate."""
+    moved = outcome.where("outcome = 'restored'")
+    gone = moved.select(F.col("survivor").alias("entity_id"), "binding").distinct()
+    return owners.select("entity_id", "binding").join(gone, ["entity_id", "binding"], "left_anti").union(moved.select(F.col("duplicate").alias("entity_id"), "binding")).distinct()
+
+
 def entity_lookup(entities: DataFrame, ids: list[str], redirect: DataFrame) -> DataFrame:
     """The entities with one of the ids that were not merged away. redirect: duplicate, survivor."""
     return entities.where(F.col("entity_id").isin(ids)).join(redirect.select(F.col("duplicate").alias("entity_id")), "entity_id", "left_anti")
@@ -119,6 +158,54 @@ def match_probability(weight: Column, prior: float) -> Column:
     return odds / (1 + odds)
 
 
+def agreement_rates(pairs: DataFrame, comparisons: list[str]) -> dict[str, float]:
+    """u of each comparison: the share of pairs that agree by chance, over pairs drawn without blocking. Nulls count nothing."""
+    row = pairs.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in comparisons)).first()
+    return {c: 0.0 if row[c] is None else row[c] for c in comparisons}
+
+
+def fit_linkage(pairs: DataFrame, comparisons: list[str], u: dict[str, float] | None = None, prior: float = 0.1, rounds: int = 100, tolerance: float = 1e-6) -> tuple[float, dict[str, tuple[float, float]]]:
+    """The prior and (m, u) of each comparison, fitted without labels by expectation maximisation.
+
+    pairs: a boolean column a comparison, null where it says nothing. Pairs are first counted by pattern; there are 3 ** k at most, so
+    k is bounded by 12, rounds run over the patterns alone, and the pairs are read once. u: rates that stay as given (see
+    `agreement_rates`); else they are fitted too. m starts at 0.9, u at 0.1. Rates stay within 1e-6 of 0 and 1. No pairs raise.
+    """
+    if len(comparisons) > 12:
+        raise ValueError("at most 12 comparisons are fitted at once")
+    rows = [(tuple(r[c] for c in comparisons), r["pairs"]) for r in pairs.groupBy(*comparisons).agg(F.count("*").alias("pairs")).collect()]
+    total = sum(n for _, n in rows)
+    if not total:
+        raise ValueError("there are no pairs to fit")
+    inside = lambda x: min(1 - 1e-6, max(1e-6, x))
+    k = range(len(comparisons))
+    chance = [inside(u[c]) if u else 0.1 for c in comparisons]
+    same = [0.9] * len(comparisons)
+    for _ in range(rounds):
+        weights = []
+        for pattern, _n in rows:
+            match, other = prior, 1 - prior
+            for i in k:
+                if pattern[i] is not None:
+                    match *= same[i] if pattern[i] else 1 - same[i]
+                    other *= chance[i] if pattern[i] else 1 - chance[i]
+            weights.append(match / (match + other))
+        before = (prior, *same, *chance)
+        prior = inside(sum(w * n for w, (_, n) in zip(weights, rows, strict=True)) / total)
+
+        def rate(i: int, of_match: bool) -> float:
+            parts = [((w if of_match else 1 - w) * n, p[i]) for w, (p, n) in zip(weights, rows, strict=True) if p[i] is not None]
+            mass = sum(x for x, _ in parts)
+            return inside(sum(x for x, agrees in parts if agrees) / mass) if mass else 0.5
+
+        same = [rate(i, True) for i in k]
+        if not u:
+            chance = [rate(i, False) for i in k]
+        if max(abs(x - y) for x, y in zip(before, (prior, *same, *chance), strict=True)) < tolerance:
+            break
+    return prior, {c: (same[i], chance[i]) for i, c in enumerate(comparisons)}
+
+
 def ranked_top(pairs: DataFrame, k: int = REVIEW_BUDGET) -> DataFrame:
     """Each left record's k best pairs, ties by right key."""
     nth = F.row_number().over(Window.partitionBy("left_key").orderBy(F.desc("score"), "right_key"))
@@ -136,11 +223,17 @@ def linkage_scores(recommended: DataFrame, truth: DataFrame) -> DataFrame:
 def best_threshold(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """threshold, f1 of the score at which keeping all pairs at or above it has the highest F1; ties: the higher threshold.
 
-    Pairs are first summed up by score, so the running totals pass over distinct scores only.
+    Pairs are first summed up by score. Scores are dealt to 256 ranges of about equal numbers; totals of the ranges above, and
+    running totals within each range, make the running totals of all, so no task sees all scores.
     """
     marked = scored.join(truth.withColumn("hit", F.lit(1)), ["left_key", "right_key"], "left").groupBy("score").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
-    w = Window.orderBy(F.desc("score"))
-    run = marked.select("score", F.sum("n").over(w).alias("n"), F.sum("hits").over(w).alias("hits")).crossJoin(truth.agg(F.count("*").alias("true")))
+    bounds = marked.agg(F.percentile_approx("score", [i / 256 for i in range(1, 256)]).alias("bounds"))  # one row
+    marked = marked.crossJoin(F.broadcast(bounds)).withColumn("range", F.size(F.filter("bounds", lambda x: x <= F.col("score")))).drop("bounds")
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over 256 rows at most
+    totals = marked.groupBy("range").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    totals = totals.select("range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "hits")))
+    w = Window.partitionBy("range").orderBy(F.desc("score"))
+    run = marked.join(F.broadcast(totals), "range").select("score", *((F.sum(c).over(w) + F.col(f"{c}_above")).alias(c) for c in ("n", "hits"))).crossJoin(truth.agg(F.count("*").alias("true")))
     return run.select(F.col("score").alias("threshold"), F.round(2 * F.col("hits") / (F.col("n") + F.col("true")), 6).alias("f1")).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
 
