@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,3 +60,52 @@ def diff_terms(old: DataFrame, new: DataFrame) -> DataFrame:
     change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(hard | soft, "changed")
     level = F.when(F.col("in_old").isNull(), "minor").when(F.col("in_new").isNull() | hard, "major").otherwise("patch")
     return j.select("iri", change.alias("change"), level.alias("level")).where("change is not null")
+
+
+#: Kinds of things that need a name.
+NAMED = ("Agent", "Artifact", "Location", "Source")
+
+
+def named_things(types: DataFrame, names: DataFrame, closure: DataFrame) -> DataFrame:
+    """Agents, artifacts, locations and sources, or of a class below, without a name that is text. types: node, type; names: node, name; closure: child, parent, reflexive."""
+    things = types.join(closure.where(F.col("parent").isin(*NAMED)), F.col("type") == F.col("child")).select("node").distinct()
+    return cardinality(things, names.where("name is not null"), "node", low=1, name="name")
+
+
+def identifiers(nodes: DataFrame, values: DataFrame, entities: DataFrame) -> DataFrame:
+    """Identifiers without exactly one entity, scheme and value, or whose entity is none. nodes: node; values: node, property (identifies, scheme, value), value; entities: entity_id."""
+    parts = [cardinality(nodes, values.where(F.col("property") == p), "node", 1, 1, p) for p in ("identifies", "scheme", "value")]
+    targets = values.where("property = 'identifies'").join(entities.select(F.col("entity_id").alias("value")).distinct(), "value", "left_anti")
+    return reduce(DataFrame.union, [*parts, _report(targets, "node", "class", F.col("value"))])
+
+
+def unresolved_references(references: DataFrame, texts: DataFrame) -> DataFrame:
+    """References that carry no source text, or several. references: reference_id; texts: reference_id, text."""
+    return cardinality(references, texts.where("text is not null"), "reference_id", 1, 1, "reference_text")
+
+
+def value_type(values: DataFrame, focus: str, column: str, datatype: str) -> DataFrame:
+    """Values, as text, that are not of the datatype: string, decimal, integer, boolean, dateTime or anyURI."""
+    return column_check(values, focus, "datatype", _LEXICAL[datatype](F.col(column)), F.col(column))
+
+
+_LEXICAL = {
+    "string": lambda c: c.isNotNull(),
+    "decimal": lambda c: c.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"),
+    "integer": lambda c: c.rlike(r"^[+-]?\d+$"),
+    "boolean": lambda c: c.isin("true", "false", "1", "0"),
+    "dateTime": lambda c: c.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?$") & F.try_to_timestamp(c).isNotNull(),
+    "anyURI": lambda c: ~c.rlike(r"[\s<>]"),
+}
+
+
+def node_kind(values: DataFrame, focus: str, column: str, kind: str) -> DataFrame:
+    """Terms, as N-Triples writes them, that are not of the kind: IRI, BlankNode or Literal."""
+    begins = {"IRI": "<", "BlankNode": "_:", "Literal": '"'}[kind]
+    return column_check(values, focus, "nodeKind", F.col(column).startswith(begins), F.col(column))
+
+
+def any_of(df: DataFrame, focus: str, branches: Sequence[Column]) -> DataFrame:
+    """or: at least one branch holds."""
+    holds = reduce(lambda a, b: a | b, (F.coalesce(b, F.lit(False)) for b in branches))
+    return _report(df.where(~holds), focus, "or")

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import paging, scalars as X
-from ..operators import facts, gates, identity
+from ..operators import facts, gates, identity, shapes
 from ..operators.closure import shared_dir
 from ..sources import mappers, rdf
+from ..sources.connector import CheckpointStore, Page, RawArchive, Snapshots, fingerprint, run_page
 from ..sources.lake import Lake, read_snapshot, write_snapshot
 from ..sources.log import EVENT_SCHEMA, EventLog, with_columns
 from ..streaming.projector import StreamingProjector, checkpoint_of, once, project, unknown_retractions
@@ -300,3 +301,171 @@ def _m11(s, d):
 def _t07(s, d):
     late_first = M.assertions(s, d).orderBy(F.desc("sequence"))
     return facts.history(late_first, True).where("status = 'asserted'").groupBy("subject_id").agg(F.max_by("assertion_id", F.struct("valid_from", "sequence")).alias("assertion_id"))
+
+
+# -- connectors, published snapshots, splits, linkage, references, shapes of names
+
+
+@register("s17_connector_pages", "SELECT 'd' || doc_id AS record_id, length(text) AS n FROM documents WHERE text IS NOT NULL")
+def _s17(s, d):
+    """Documents come in three pages, of which the second fails once after it was handed over; every record ends in the log once."""
+    place, docs = _place(s, "connector"), M.load(s, d, "documents").where("text is not null")
+    archive, store, log = RawArchive(s, f"{place}/raw"), CheckpointStore(s, f"{place}/checkpoints"), EventLog(s, f"{place}/log")
+    config = fingerprint({"table": "documents"}, "text", "1")
+
+    def fetch(cursor):
+        n = int(cursor or 0)
+        rows = docs.where(F.col("doc_id") % 3 == n).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id"), F.col("text").alias("body"))
+        return Page(rows, str(n + 1) if n < 2 else None, n == 2)
+
+    def mapper(rows):
+        payload = F.to_json(F.struct("record_id", F.length("body").alias("n")))
+        at = F.lit("2024-01-01").cast("timestamp")
+        return rows.select(F.col("record_id").alias("event_id"), F.lit("DocumentRegistered").alias("event_type"), F.lit(6).alias("schema_version"), at.alias("occurred_at"), payload.alias("payload"), at.alias("valid_at"))
+
+    failed = []
+
+    def handle(events):
+        known = log.read().select("event_id")
+        log.commit(events.join(known, "event_id", "left_anti"))
+        if store.load("documents") is not None and not failed:
+            failed.append(True)
+            raise OSError("the connection broke")
+
+    while True:
+        try:
+            if run_page("documents", fetch, mapper, handle, archive, store, config) is None:
+                break
+        except OSError:
+            continue
+    if not archive.altered().isEmpty():
+        raise RuntimeError("the archive holds an altered body")
+    return log.read().select(F.get_json_object("payload", "$.record_id").alias("record_id"), F.get_json_object("payload", "$.n").cast("long").alias("n"))
+
+
+@register("s16_raw_archive", "SELECT sha256(coalesce(text, '')) AS digest, min(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY 1")
+def _s16(s, d):
+    archive, docs = RawArchive(s, _place(s, "archive")), M.load(s, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("text").alias("body"))
+    archive.store("a", docs.where("cast(record_id as bigint) % 2 = 0"))
+    archive.store("b", docs)
+    return archive.bodies().select("digest", "bytes")
+
+
+@register("s27_published_snapshot", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3")
+def _s27(s, d):
+    """The second state is published, and a third, during whose writing the log changes, is not."""
+    kept, n = Snapshots(s, _place(s, "published")), M.load(s, d, "nation")
+    for name, most in (("a", 1), ("b", 3)):
+        kept.publish(name, {"nations": n.where(F.col("n_regionkey") < most).select("n_nationkey", "n_name")}, lambda name=name: name)
+    states = iter("cd")
+    try:
+        kept.publish("c", {"nations": n.select("n_nationkey", "n_name")}, lambda: next(states))
+    except RuntimeError:
+        pass
+    return kept.read("nations", "b")
+
+
+@register("i05_split_outcome", "SELECT survivor, duplicate, c_name AS binding, CASE WHEN duplicate % 30 = 3 THEN 'retained' ELSE 'restored' END AS outcome FROM merges JOIN customer ON c_custkey = duplicate WHERE duplicate % 10 = 3", "merges")
+def _i05(s, d):
+    m = M.merges(s, d)
+    moved = M.load(s, d, "customer").select(F.col("c_custkey").alias("duplicate"), F.col("c_name").alias("binding"))
+    owners = m.join(moved, "duplicate").where("duplicate % 30 <> 3").select(F.col("survivor").alias("entity_id"), "binding")
+    wrong = m.where("duplicate % 10 = 3").select((F.col("survivor") - 1).alias("survivor"), "duplicate")  # not merged there: no rows
+    return identity.split_outcome(m.where("duplicate % 10 = 3").select("survivor", "duplicate").union(wrong), moved, owners, m)
+
+
+@register("i07_owners_after_splits", "SELECT CASE WHEN duplicate % 10 = 3 THEN duplicate ELSE survivor END AS entity_id, c_name AS binding FROM merges JOIN customer ON c_custkey = duplicate", "merges")
+def _i07(s, d):
+    m = M.merges(s, d)
+    moved = M.load(s, d, "customer").select(F.col("c_custkey").alias("duplicate"), F.col("c_name").alias("binding"))
+    owners = m.join(moved, "duplicate").select(F.col("survivor").alias("entity_id"), "binding")
+    return identity.owners_after_splits(owners, identity.split_outcome(m.where("duplicate % 10 = 3"), moved, owners, m))
+
+
+@register("i10_agreement_rates", "SELECT round(avg((c_nationkey = s_nationkey)::INT), 6) AS nation, round(avg((round(c_acctbal / 1000) = round(s_acctbal / 1000))::INT), 6) AS balance FROM customer, supplier")
+def _i10u(s, d):
+    c, p = M.load(s, d, "customer"), M.load(s, d, "supplier")
+    # agreement of all pairs, from counts of values
+    def chance(a, b):
+        left, right = (df.groupBy(col.alias("v")).agg(F.count("*").alias(n)) for df, col, n in ((c, a, "x"), (p, b, "y")))
+        return left.join(right, "v").agg(F.sum(F.col("x") * F.col("y")).alias("same"))
+
+    total = c.agg(F.count("*").alias("x")).crossJoin(p.agg(F.count("*").alias("y"))).select((F.col("x") * F.col("y")).alias("all"))  # one row each
+    parts = [chance(F.col("c_nationkey"), F.col("s_nationkey")).withColumnRenamed("same", "nation"), chance(F.round(F.col("c_acctbal") / 1000), F.round(F.col("s_acctbal") / 1000)).withColumnRenamed("same", "balance")]
+    return parts[0].crossJoin(parts[1]).crossJoin(total).select(*(F.round(F.col(x) / F.col("all"), 6).alias(x) for x in ("nation", "balance")))
+
+
+@register("o06_first_per_source", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) WHERE r <= 7")
+def _o06(s, d):
+    return mappers.first_n(M.load(s, d, "events"), "event_type", ["ts", "event_id"], 7).select("event_type", "event_id")
+
+
+@register("w09_latest_record", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def _w09(s, d):
+    e = M.load(s, d, "events").select("user_id", "event_id", "event_type", F.date_trunc("day", "ts").alias("day"))
+    return mappers.latest_by(e, ["user_id"], "day", "event_id").select("user_id", "event_id", "event_type")
+
+
+@register("m12_encyclopedia", "SELECT 'enwiki:' || p_partkey AS record_id, p_partkey % 4 = 0 AS bare, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'Part ' || p_partkey ELSE p_name END AS subject, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS object, CASE WHEN p_partkey % 4 <> 0 THEN 8 END AS start, CASE WHEN p_partkey % 4 <> 0 THEN 8 + length(CASE WHEN p_partkey % 4 = 1 THEN 'It' ELSE p_name END) + length(' is a wholly owned subsidiary of the ') + length(p_brand) + length(' since 1999') END AS \"end\" FROM part")
+def _m12(s, d):
+    p, k = M.load(s, d, "part"), F.col("p_partkey")
+    subject = F.when(k % 4 == 1, "It").otherwise(F.col("p_name"))
+    text = F.concat(F.lit("Lead-in. "), subject, F.lit(" is a wholly owned subsidiary of the "), F.col("p_brand"), F.lit(" since 1999. More.\n\nX is a subsidiary of Y."))
+    page = F.struct(F.concat(F.lit("Part "), k.cast("string")).alias("title"), k.alias("pageid"), text.alias("extract"), F.array(F.struct(F.lit(5).alias("revid"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"))).alias("revisions"), F.struct(F.when(k % 4 != 0, "Q42").alias("wikibase_item")).alias("pageprops"))
+    raw = p.select(k.cast("string").alias("record_id"), F.lit("urn:x").alias("source_uri"), F.to_json(F.struct(F.struct(F.array(page).alias("pages")).alias("query"))).alias("body"))
+    rows = mappers.encyclopedia(raw).select("record_id", F.col("item").isNull().alias("bare"), F.explode_outer("claims").alias("c"))
+    return rows.select("record_id", "bare", "c.subject", "c.object", (F.col("c.start") - 1).alias("start"), (F.col("c.end") - 1).alias("end"))
+
+
+@register("s25_export_context", "SELECT DISTINCT json_extract_string(props, '$.k') AS iri FROM events")
+def _s25(s, d):
+    known = rdf.context(event_log(s, d))
+    rows = event_log(s, d).where("event_type = 'AssertionMade'").select(F.get_json_object("payload", "$.object.value").alias("iri"))
+    return rdf.in_context(rows, "iri", known, "location").distinct()
+
+
+@register("s30_triples", "SELECT '<urn:assert:' || event_id || '>' AS s, '\"' || status || '\"' AS o FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'retracted' WHEN lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 'signup' THEN 'superseded' ELSE 'asserted' END AS status FROM events)")
+def _s30(s, d):
+    """Quads are written as lines, and read back."""
+    place = _place(s, "quads")
+    rdf.lines(rdf.quads(M.assertions(s, d))).write.text(place)
+    return rdf.read_ntriples(s, place).where("p = '<urn:kg:core#status>'").select("s", "o")
+
+
+@register("sh_named_thing", "SELECT 'c' || c_custkey AS focus, 'name' AS \"constraint\", '0' AS detail FROM customer WHERE c_custkey % 9 = 0 AND c_custkey % 2 = 0")
+def _shn(s, d):
+    key = F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node")
+    c = M.load(s, d, "customer")
+    types = c.select(key, F.when(F.col("c_custkey") % 2 == 0, "Person").otherwise("Event").alias("type"))
+    below = s.createDataFrame([("Person", "Agent"), ("Agent", "Agent"), ("Event", "Event")], "child string, parent string")
+    return shapes.named_things(types, c.where("c_custkey % 9 <> 0").select(key, F.col("c_name").alias("name")), below)
+
+
+@register("sh_identifier", "SELECT 'i' || s_suppkey AS focus, CASE WHEN s_suppkey % 4 = 1 THEN 'scheme' WHEN s_suppkey % 4 = 2 THEN 'value' ELSE 'class' END AS \"constraint\", CASE WHEN s_suppkey % 4 = 1 THEN '0' WHEN s_suppkey % 4 = 2 THEN '2' ELSE 'nobody' END AS detail FROM supplier WHERE s_suppkey % 4 <> 0")
+def _shi(s, d):
+    k = F.col("s_suppkey") % 4
+    n = M.load(s, d, "supplier").select(F.concat(F.lit("i"), F.col("s_suppkey").cast("string")).alias("node"), "s_suppkey", "s_name")
+    value = lambda p, v: F.struct(F.lit(p).alias("property"), v.alias("value"))
+    all_ = F.array(value("identifies", F.when(k == 3, "nobody").otherwise(F.col("s_name"))), F.when(k != 1, value("scheme", F.lit("lei"))), value("value", F.lit("a")), F.when(k == 2, value("value", F.lit("b"))))
+    values = n.select("node", F.explode(F.array_compact(all_)).alias("v")).select("node", "v.*")
+    return shapes.identifiers(n.select("node"), values, n.select(F.col("s_name").alias("entity_id")))
+
+
+@register("sh_unresolved", "SELECT o_orderkey::VARCHAR AS focus, 'reference_text' AS \"constraint\", n::VARCHAR AS detail FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) WHERE n <> 1")
+def _shu(s, d):
+    return shapes.unresolved_references(M.load(s, d, "orders").select(F.col("o_orderkey").alias("reference_id")), M.load(s, d, "lineitem").select(F.col("l_orderkey").alias("reference_id"), F.lit("x").alias("text")))
+
+
+@register("sh_datatype", "SELECT event_id::VARCHAR AS focus, 'datatype' AS \"constraint\", CASE WHEN event_id % 3 = 1 THEN '2024-13-01T00:00:00Z' ELSE 'soon' END AS detail FROM events WHERE event_id % 3 <> 0")
+def _shd(s, d):
+    k = F.col("event_id") % 3
+    stamp = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, "2024-13-01T00:00:00Z").otherwise("soon")
+    return shapes.value_type(M.load(s, d, "events").select("event_id", stamp.alias("stamp")), "event_id", "stamp", "dateTime")
+
+
+@register("sh_node_kind_or", "SELECT p_partkey::VARCHAR AS focus, 'nodeKind' AS \"constraint\", '\"' || p_brand || '\"' AS detail FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey::VARCHAR, 'or', NULL FROM part WHERE NOT (p_size > 10 OR p_retailprice > 1200)")
+def _shk(s, d):
+    p = M.load(s, d, "part")
+    term = F.when(F.col("p_size") > 25, F.concat(F.lit('"'), F.col("p_brand"), F.lit('"'))).otherwise(F.concat(F.lit("<urn:"), F.col("p_partkey").cast("string"), F.lit(">")))
+    kinds = shapes.node_kind(p.withColumn("term", term), "p_partkey", "term", "IRI")
+    return kinds.union(shapes.any_of(p, "p_partkey", [F.col("p_size") > 10, F.col("p_retailprice") > 1200]))

@@ -36,6 +36,19 @@ def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", nth).where("_n = 1").drop("_n")
 
 
+def first_n(df: DataFrame, source: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each source in the given order; what a task cannot need is left out before the shuffle."""
+    nth = F.row_number().over(Window.partitionBy(source).orderBy(*order))
+    return df.withColumn("_n", nth).where(F.col("_n") <= n).drop("_n")
+
+
+def latest_by(df: DataFrame, keys: list[str], seen: str, tie: str) -> DataFrame:
+    """Of each key the row seen last; of several the one with the greatest tie. Rows never seen come before all others."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(seen).alias("seen"), F.col(tie).alias("tie"))).alias("_r"))
+    return best.select(*keys, "_r.*").select(df.columns)
+
+
 def _seconds(c: Column) -> Column:
     return F.timestamp_seconds(c).cast("timestamp")
 
@@ -161,3 +174,52 @@ def feed(lines: DataFrame) -> DataFrame:
         bad = bad | F.coalesce(F.trim(c) == "", F.lit(True))
     ok = F.when(bad, F.raise_error(F.lit("a feed line lacks a field")).cast("boolean")).otherwise(F.lit(True))
     return d.where(ok).select("mmsi", "name", "sensor_id", "track_id", F.coalesce("position_uri", "location_uri").alias("position_uri"), F.to_timestamp("at_time").alias("at_time"))
+
+
+#: What an explicit claim looks like, and what refers to the page itself.
+SUBSIDIARY = r"([^.!?\n]{1,100}?)\s+is\s+(?:a|an)\s+(?:[\w-]+\s+){0,4}subsidiary of\s+([^.;,\n]{2,80}?)(?=\s+(?:that\s+was|formed\s+in|since\s+\d{4})\b|[.,;\n]|$)"
+PRONOUNS = ("it", "this company", "the company")
+
+
+def encyclopedia(raw: DataFrame) -> DataFrame:
+    """raw: record_id, source_uri, body: answers with one page and its last revision. A row a page: its document and `claims`.
+
+    record_id, source_uri, title, text, content_hash, revision_id, revision_at, item (the page's entity id or null), claims. A body without
+    page, revision or text, or with a malformed item, raises. See `subsidiary_claims` for the claims; without an item there are none.
+    """
+    schema = "query struct<pages:array<struct<title:string,pageid:bigint,missing:boolean,extract:string,revisions:array<struct<revid:bigint,timestamp:string>>,pageprops:struct<wikibase_item:string>>>>"
+    p = raw.select("source_uri", F.get(F.from_json("body", schema)["query"]["pages"], F.lit(0)).alias("p")).select("source_uri", "p.*", F.get("p.revisions", F.lit(0)).alias("r"))
+    item = F.col("pageprops.wikibase_item")
+    at = F.try_to_timestamp(F.col("r.timestamp"))
+    sound = ~F.coalesce("missing", F.lit(False)) & F.col("title").isNotNull() & F.col("pageid").isNotNull() & F.col("r.revid").isNotNull() & at.isNotNull() & (F.trim("extract") != "") & (item.isNull() | item.rlike("^Q[1-9][0-9]*$"))
+    checked = p.where(F.when(F.coalesce(sound, F.lit(False)), True).otherwise(F.raise_error(F.lit("a page lacks its text, revision or ids")).cast("boolean")))
+    out = checked.select(F.concat(F.lit("enwiki:"), "pageid").alias("record_id"), "source_uri", "title", F.col("extract").alias("text"), F.sha2("extract", 256).alias("content_hash"), F.col("r.revid").cast("string").alias("revision_id"), at.alias("revision_at"), item.alias("item"))
+    return out.withColumn("claims", F.when(F.col("item").isNotNull(), subsidiary_claims(F.col("text"), F.col("title"))).otherwise(F.array().cast("array<struct<subject:string,object:string,start:int,end:int>>")))
+
+
+def subsidiary_claims(text: Column, title: Column) -> Column:
+    """array of (subject, object, start, end): "X is a ... subsidiary of Y" in the first paragraph; end is exclusive, in characters.
+
+    A claim's span ends with its sentence. "It" and the like stand for the title. Y ends at a clause that says since when, or at a mark.
+    """
+    pattern, blank = "(?iU)" + SUBSIDIARY, F.lit(r"(?U)^\s+|\s+$")
+    paragraph = F.substring_index(text, "\n\n", 1)
+    locate = lambda what, at: F.call_function("locate", what, paragraph, at)
+    # matches do not overlap, so each begins where its text is found first after the one before
+    zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<m:string,at:int>>").alias("found"))
+
+    def place(acc: Column, m: Column) -> Column:
+        at = locate(m, acc["next"])
+        return F.struct((at + F.length(m)).alias("next"), F.concat(acc["found"], F.array(F.struct(m.alias("m"), (at - 1).alias("at")))).alias("found"))
+
+    def claim(x: Column) -> Column:
+        part = lambda i: F.regexp_replace(F.regexp_extract(x["m"], pattern, i), blank, F.lit(""))
+        after = x["at"] + F.length(x["m"])
+        dot = locate(F.lit("."), after + 1)
+        span = F.substring(paragraph, x["at"] + 1, F.when(dot > 0, dot - 1).otherwise(after) - x["at"])
+        start = x["at"] + F.length(span) - F.length(F.regexp_replace(span, F.lit(r"(?U)^\s+"), F.lit("")))
+        subject = F.when(F.lower(part(1)).isin(*PRONOUNS), title).otherwise(part(1))
+        return F.struct(subject.alias("subject"), F.regexp_replace(part(2), F.lit(r"(?iU)^(?:the|a|an)\s+"), F.lit("")).alias("object"), start.alias("start"), (start + F.length(F.regexp_replace(span, blank, F.lit("")))).alias("end"))
+
+    placed = F.aggregate(F.regexp_extract_all(paragraph, F.lit(pattern), F.lit(0)), zero, place, lambda acc: acc["found"])
+    return F.filter(F.transform(placed, claim), lambda c: (c["subject"] != "") & (c["object"] != ""))

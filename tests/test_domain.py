@@ -430,3 +430,138 @@ def test_paged_source(spark):
 
     spark.dataSource.register(Pages)
     assert rows(spark.read.format("factloom_pages").option("pages", 3).load().select("page", "record_id"))[-1] == (2, "r2-1")
+
+
+def test_long_and_open_intervals_meet_by_levels(spark):
+    """As-of joins and overlaps against all pairs, with intervals from minutes to centuries, open ones, and times before 1970."""
+    import random
+    from datetime import datetime, timedelta
+
+    r = random.Random(5)
+    start = datetime(1960, 1, 1)
+    data = []
+    for i in range(150):
+        a = start + timedelta(minutes=r.randrange(60 * 24 * 365 * 30))
+        b = r.choice([None, a, a + timedelta(minutes=r.randrange(1, 2000)), a + timedelta(days=r.randrange(1, 40_000))])
+        data.append((f"x{i:03}", i, f"s{i % 4}", "p", f"o{i % 3}", a, b, "asserted"))
+    a = spark.createDataFrame(data, "assertion_id string, sequence long, subject_id string, predicate_iri string, object_value string, valid_from timestamp_ntz, valid_until timestamp_ntz, status string")
+    probes = [(f"s{i % 4}", start + timedelta(minutes=r.randrange(60 * 24 * 365 * 40)), i) for i in range(100)] + [("s1", None, 100)]
+    p = spark.createDataFrame(probes, "subject_id string, at timestamp_ntz, n long")
+    holds = lambda d, t: t is not None and d[5] <= t and (d[6] is None or t < d[6])
+    want = sorted((n, d[0]) for s, t, n in probes for d in data if d[2] == s and holds(d, t))
+    assert sorted(map(tuple, facts.as_of_join(p, a).select("n", "assertion_id").collect())) == want
+    live = [d for d in data if d[6] is None or d[5] < d[6]]
+    meet = lambda x, y: (y[6] is None or x[5] < y[6]) and (x[6] is None or y[5] < x[6])
+    want = sorted((x[2], x[0], y[0]) for x in live for y in live if x[0] < y[0] and x[2] == y[2] and x[4] != y[4] and meet(x, y))
+    got = sorted(map(tuple, facts.overlapping_pairs(a.where("valid_until is null or valid_from < valid_until")).collect()))
+    assert got == want and len(got) > 100
+
+
+def test_thresholds_by_ranges(spark):
+    import random
+
+    r = random.Random(2)
+    data = [(i, i, round(r.random(), 3)) for i in range(3000)]
+    truth = {i for i, _, s in data if r.random() < s}
+    best = max((round(2 * sum(1 for i, _, x in data if x >= t and i in truth) / (sum(1 for d in data if d[2] >= t) + len(truth)), 6), t) for t in {d[2] for d in data})
+    got = identity.best_threshold(spark.createDataFrame(data, "left_key long, right_key long, score double"), spark.createDataFrame([(i, i) for i in truth], "left_key long, right_key long")).first()
+    assert (got["f1"], got["threshold"]) == best
+
+
+def test_linkage_is_fitted_without_labels(spark):
+    import random
+
+    r = random.Random(3)
+    data = []
+    for _ in range(20_000):
+        match = r.random() < 0.2
+        data.append(tuple(None if r.random() < 0.05 else r.random() < (m if match else u) for m, u in ((0.95, 0.05), (0.9, 0.2), (0.8, 0.1))))
+    pairs = spark.createDataFrame(data, "a boolean, b boolean, c boolean")
+    prior, rates = identity.fit_linkage(pairs, ["a", "b", "c"])
+    assert abs(prior - 0.2) < 0.02
+    for c, (m, u) in zip("abc", ((0.95, 0.05), (0.9, 0.2), (0.8, 0.1)), strict=True):
+        assert abs(rates[c][0] - m) < 0.03 and abs(rates[c][1] - u) < 0.03
+    prior, rates = identity.fit_linkage(pairs, ["a", "b", "c"], identity.agreement_rates(pairs, ["a", "b", "c"]))
+    assert 0 < prior < 1
+    with pytest.raises(ValueError):
+        identity.fit_linkage(pairs.where("false"), ["a"])
+
+
+def test_splits(spark):
+    merged = spark.createDataFrame([("d", "s"), ("e", "s")], "duplicate string, survivor string")
+    moved = spark.createDataFrame([("d", "n1"), ("d", "n1"), ("d", "n2"), ("e", "n3")], "duplicate string, binding string")
+    owners = spark.createDataFrame([("s", "n1"), ("z", "n2"), ("s", "n3"), ("z", "n1")], "entity_id string, binding string")
+    wanted = spark.createDataFrame([("s", "d"), ("s", "q")], "survivor string, duplicate string")
+    out = identity.split_outcome(wanted, moved, owners, merged)
+    assert rows(out) == [("s", "d", "n1", "restored"), ("s", "d", "n2", "retained")]
+    assert rows(identity.unsound_splits(wanted, merged)) == [("s", "q")]
+    assert rows(identity.owners_after_splits(owners, out)) == [("d", "n1"), ("s", "n3"), ("z", "n1"), ("z", "n2")]
+
+
+def test_connector(spark, tmp_path):
+    from factloom.sources.connector import CheckpointStore, Page, RawArchive, fingerprint, run_page
+
+    archive, store, seen = RawArchive(spark, f"{tmp_path}/raw"), CheckpointStore(spark, f"{tmp_path}/checkpoints"), []
+    pages = {None: ([("a", "x"), ("b", "x")], "2"), "2": ([("c", None)], None)}
+
+    def fetch(cursor):
+        data, after = pages[cursor]
+        return Page(spark.createDataFrame(data, "record_id string, body string"), after, after is None)
+
+    def run(config, fetch=fetch, handle=lambda df: seen.extend(r.record_id for r in df.collect())):
+        return run_page("src", fetch, lambda df: df, handle, archive, store, config)
+
+    one = fingerprint({"q": 1}, "r", "1")
+    first = run(one)
+    assert (first.cursor, first.complete, first.raw_records) == ("2", False, 2)
+
+    def broken(df):
+        raise OSError
+
+    with pytest.raises(OSError):
+        run(one, handle=broken)
+    assert store.load("src") == first  # the page is read again
+    with pytest.raises(ValueError, match="changed"):
+        run(fingerprint({"q": 2}, "r", "1"))
+    with pytest.raises(ValueError, match="empty"):
+        run(one, fetch=lambda c: Page(spark.createDataFrame([], "record_id string, body string"), None, True))
+    with pytest.raises(ValueError, match="go on"):
+        run(one, fetch=lambda c: Page(fetch(c).records, "2", False))
+    last = run(one)
+    assert (last.complete, last.raw_records, last.mapped_records) == (True, 3, 3) and run(one) is None
+    assert sorted(seen) == ["a", "b", "c"] and archive.bodies().count() == 2 and archive.manifest().count() == 3 and archive.altered().isEmpty()
+    with pytest.raises(ValueError):
+        fingerprint({}, "r", " ")
+
+
+def test_encyclopedia_claims(spark):
+    from factloom.sources.mappers import encyclopedia, subsidiary_claims
+
+    texts = [
+        "Foo is a wholly owned subsidiary of the Bar Group, formed in 1990. It is an indirect subsidiary of Baz",
+        "Nothing here.\n\nFoo is a subsidiary of Bar.",
+        "Đại Việt is a state-owned subsidiary of Công ty Á since 2001. Foo is a subsidiary of Bar that was sold.",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: [(c.subject, c.object, texts[r.i][c.start : c.end]) for c in r.c or ()] for r in df.select("i", subsidiary_claims(F.col("t"), F.lit("Title")).alias("c")).collect()}
+    assert got == {
+        0: [("Foo", "Bar Group", "Foo is a wholly owned subsidiary of the Bar Group, formed in 1990"), ("Title", "Baz", "It is an indirect subsidiary of Baz")],
+        1: [],
+        2: [("Đại Việt", "Công ty Á", "Đại Việt is a state-owned subsidiary of Công ty Á since 2001"), ("Foo", "Bar", "Foo is a subsidiary of Bar that was sold")],
+        3: [],
+        4: [],
+    }
+    with pytest.raises(Exception, match="lacks"):
+        encyclopedia(spark.createDataFrame([("1", "u", '{"query": {"pages": [{"title": "x", "missing": true}]}}')], "record_id string, source_uri string, body string")).collect()
+
+
+def test_triples_that_are_none_are_refused(spark, tmp_path):
+    from factloom.sources.rdf import read_ntriples
+
+    (tmp_path / "a.nt").write_text('# c\n\n<a> <b> "x \\" . y"@en .\n_:n <b> <c> <g> .\n<a> <b> "1"^^<t> . # c\n')
+    assert rows(read_ntriples(spark, str(tmp_path / "a.nt"))) == [("<a>", "<b>", '"1"^^<t>'), ("<a>", "<b>", '"x \\" . y"@en'), ("_:n", "<b>", "<c>")]
+    (tmp_path / "b.nt").write_text("<a> <b> .\n")
+    with pytest.raises(Exception, match="not a triple"):
+        read_ntriples(spark, str(tmp_path / "b.nt")).collect()
