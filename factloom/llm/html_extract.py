@@ -11,10 +11,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import SLICE_BYTES, slices, written
 from .url_filter import host_of
 
 # Fixed values of HTML and of common page markup.
@@ -186,22 +187,23 @@ def main_blocks(blocks: list, gone: set | None = None) -> list[str]:
     return [b[2] for b in (inside or kept)]
 
 
-_PARSED = "id {}, url string, prior array<double>, inside array<boolean>, texts array<string>, nodes array<long>, marks array<long>, shapes array<long>, flags array<int>"
+_PARSED = "chunk long, nodes array<long>, marks array<long>, shapes array<long>, flags array<int>, prior array<double>, image binary"
 
 
-def _parsed(markup: bool):
-    """A row a page: its blocks without those that markup shows to be noise.
+def _parsed(markup: bool, chunk_bytes: int):
+    """A row a chunk of pages: their blocks, one after another, without those that markup shows to be noise.
 
     marks: hashes of node and text; shapes: hashes of what the node holds on the page; flags: 1 for the first block of its
-    node on the page, 2 for the first of its mark, 3 for both.
+    node on the page, 2 for the first of its mark, 3 for both. image: the pages with their texts, in Arrow's compressed form.
     """
-    kinds = (pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "html"):
+            for part in slices(batch, "html", chunk_bytes):
                 cols: list[list] = [[] for _ in kinds]
-                ends = [0]
+                inside_of, texts, ends = [], [], [0]
                 for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                     page = parse(source, host, markup)
                     known: set = set()
@@ -214,15 +216,40 @@ def _parsed(markup: bool):
                             shapes[node] = _hash(*page.children.get(node, ()))
                         flag = (node not in known) + 2 * ((node, mark) not in known)
                         known |= {node, (node, mark)}
-                        for c, v in zip(cols, (prior, inside, text, node, mark, shapes[node], flag), strict=True):
+                        for c, v in zip(cols, (node, mark, shapes[node], flag, prior), strict=True):
                             c.append(v)
-                    ends.append(len(cols[0]))
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c, k)) for c, k in zip(cols, kinds, strict=True)]
-                yield pa.record_batch([part.column("id"), part.column("url"), *lists], names=["id", "url", "prior", "inside", "texts", "nodes", "marks", "shapes", "flags"])
+                        inside_of.append(inside)
+                        texts.append(text)
+                    ends.append(len(texts))
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c, k)) for c, k in ((cols[4], pa.float64()), (inside_of, pa.bool_()), (texts, pa.string()))]
+                image = _packed(pa.record_batch([part.column("id"), part.column("url"), *lists], names=["id", "url", "prior", "inside", "texts"]))
+                yield pa.record_batch([pa.array([chunk]), *(pa.array([c], pa.list_(k)) for c, k in zip(cols, kinds, strict=True)), pa.array([image], pa.binary())], names=["chunk", "nodes", "marks", "shapes", "flags", "prior", "image"])
+                chunk += 1
 
     return run
 
 
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each page. gone: places, in its chunk, of the blocks that go."""
+    for batch in batches:
+        for image, gone in zip(batch.column("image"), batch.column("gone"), strict=True):
+            pages = pa.ipc.open_stream(image.as_buffer()).read_next_batch()
+            out = set(gone.as_py() or ())
+            texts, first = [], 0
+            for block in zip(*(pages.column(k).to_pylist() for k in ("prior", "inside", "texts")), strict=True):
+                n = len(block[0])
+                texts.append("\n\n".join(main_blocks(list(zip(*block, strict=True)), {i - first for i in range(first, first + n) if i in out} if out else None)))
+                first += n
+            yield pa.record_batch([pages.column("id"), pages.column("url"), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["id", "url", "text", "n_chars"])
+
+
 def importances(blocks: DataFrame, gamma: float, pseudo: float) -> DataFrame:
     """node, mark, importance of every content node. blocks: node, mark, shape, flag of each block.
 
@@ -250,6 +277,7 @@ def extract(
     gamma: float = 0.9,
     pseudo: float = 4.0,
     markup: bool = True,
+    chunk_bytes: int = SLICE_BYTES,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
@@ -265,26 +293,19 @@ def extract(
 
     Null html, and pages without text, give an empty text; a null url, or one without host, belongs to the host "". Repeated rows
     give repeated results (and weigh twice in the tree). Texts are whole, whatever their length; nesting may be of any depth.
-    Each page is parsed once; blocks, not pages, are routed to the tree's counts, and places of what goes come back.
+    Each page is parsed once; blocks, not pages, are routed to the tree's counts, and places of what goes come back to the
+    chunk of pages that they are of. Chunks hold about chunk_bytes of html, or one longer page, and are compressed, so little is shuffled even
+    where places of what goes are too many to broadcast.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     kind = pages.schema[id_col].dataType.simpleString()
-    parsed = rows.mapInArrow(_parsed(markup), _PARSED.format(kind)).withColumn("rid", F.monotonically_increasing_id())
-    parsed = written(parsed, "pages", "zstd")
+    parsed = written(rows.mapInArrow(_parsed(markup, chunk_bytes), _PARSED), "pages", "zstd")
     zipped = F.arrays_zip("nodes", "marks", "shapes", "flags", "prior")
-    blocks = parsed.select("rid", F.posexplode(zipped).alias("pos", "b")).select("rid", "pos", F.col("b.nodes").alias("node"), F.col("b.marks").alias("mark"), F.col("b.shapes").alias("shape"), F.col("b.flags").alias("flag"), F.col("b.prior").alias("prior"))
+    blocks = parsed.select("chunk", F.posexplode(zipped).alias("pos", "b")).select("chunk", "pos", F.col("b.nodes").alias("node"), F.col("b.marks").alias("mark"), F.col("b.shapes").alias("shape"), F.col("b.flags").alias("flag"), F.col("b.prior").alias("prior"))
     # where markup decides alone, no importance is needed
     open_ = blocks.where((F.col("prior") < threshold) & (F.col("prior") + 1 >= threshold))
     low = importances(open_, gamma, pseudo).where(F.col("importance") < threshold - DOUBTFUL)
-    gone = open_.join(low, ["node", "mark"]).where(F.col("importance") + F.col("prior") < threshold).groupBy("rid").agg(F.collect_set("pos").alias("gone"))
-    gone = written(gone, "gone")  # of known size: where little goes it is broadcast, and texts stay where they are
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for *block, out in zip(*(batch.column(k).to_pylist() for k in ("prior", "inside", "texts", "gone")), strict=True):
-                texts.append("\n\n".join(main_blocks(list(zip(*block, strict=True)), set(out or ()))))
-            yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["id", "url", "text", "n_chars"])
-
-    judged = parsed.select("rid", "id", "url", "prior", "inside", "texts").join(gone, "rid", "left").drop("rid")
-    return judged.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    gone = open_.join(low, ["node", "mark"]).where(F.col("importance") + F.col("prior") < threshold).groupBy("chunk").agg(F.collect_list("pos").alias("gone"))
+    gone = written(gone, "gone")  # of known size: where little goes it is broadcast, and pages stay where they are
+    judged = parsed.select("chunk", "image").join(gone, "chunk", "left").select("image", "gone")
+    return judged.mapInArrow(_judged, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

@@ -453,3 +453,18 @@ def test_copied_articles_keep_their_text(spark):
     page = lambda i: f"<div class=x1><p>All rights of the publisher</p></div><article><h1>Title {i}</h1>{body}</article><div class=x2><p>Call us</p></div>"
     frame = spark.createDataFrame([(i, f"http://copies.org/{i}", page(i)) for i in range(30)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in extract(frame).collect()} == {i: f"Title {i}\n\nThe same story\n\nin every copy" for i in range(30)}
+
+
+def test_pages_are_the_same_whether_places_are_broadcast_or_shuffled(spark):
+    """Many chunks, with branches that go in each; the join by broadcast and by shuffle gives the same pages."""
+    page = lambda i: f"<div class=x1><p>All rights of the publisher</p></div><div class=story><p>Story {i} begins</p></div>"
+    rows = [(i, f"http://site.org/{i}", page(i)) for i in range(60)] + [(60, None, None), (60, None, ""), (None, "http://site.org/x", page(61))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = sorted([(str(i), f"Story {i} begins") for i in range(60)] + [("60", ""), ("60", ""), ("None", "Story 61 begins")])
+    for limit in ("10MB", "-1"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            assert sorted((str(r.page_id), r.text) for r in extract(frame, chunk_bytes=300).collect()) == want
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
