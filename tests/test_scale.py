@@ -57,3 +57,30 @@ def test_resolve_meets_owners_once(spark):
     got = identity.resolve(queries, owners.select("source", "record_id", "entity_id"), owners.select("entity_id", "source", "external_id"), owners.select("entity_id", "surface"), owners.select("entity_id", "entity_type"))
     assert most_rows(got) <= 3 * n
     assert {tuple(r)[1:] for r in got.collect()} == {("CONFLICT", None)}
+
+
+def test_blocked_totals(spark):
+    """Keys with several rows, null keys and values, repeated rows; one, two and three rules."""
+    r = random.Random(6)
+    some = lambda n: r.choice([None, *range(n)])
+    rules = [("a", "x"), ("b", "y"), ("c", "z")]
+    for keys, n in ((40, 60), (10_000, 60), (3, 30)):
+        left, right = ([(r.choice([None, *range(keys)]), some(5), some(9), some(4)) for _ in range(n)] for _ in "lr")
+        frames = spark.createDataFrame(left * 2, "row_key long, a int, b int, c int"), spark.createDataFrame(right, "row_key long, x int, y int, z int")
+        for m in (1, 2, 3):
+            want = {(p[0], q[0]) for p in left for q in right if any(p[i] is not None and p[i] == q[i] for i in range(1, m + 1))}
+            assert {tuple(x) for x in identity.blocked_pairs(*frames, rules[:m]).collect()} == want
+            assert tuple(identity.blocked_totals(*frames, rules[:m]).first()) == (len(want), *(sum(p[i] or 0 for p in want) for i in (0, 1)))
+    assert tuple(identity.blocked_totals(frames[0].where("false"), frames[1], rules).first()) == (0, None, None)
+
+
+def test_blocks_are_counted_not_paired(spark, tmp_path):
+    from factloom.plans import queries
+
+    n = 2000
+    for t, c in (("customer", "c"), ("supplier", "s")):
+        key = f"{c}_custkey" if c == "c" else f"{c}_suppkey"
+        spark.range(n).selectExpr(f"id as {key}", f"1 as {c}_nationkey", f"concat('{t.title()}#', lpad(id % 500, 9, '0')) as {c}_name").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = queries.QUERIES["j15_blocked_pairs"](spark, str(tmp_path))
+    assert most_rows(got) <= 3 * n
+    assert tuple(got.first()) == (n * n, *(n * n * (n - 1) // 2,) * 2)
