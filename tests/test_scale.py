@@ -3,6 +3,7 @@
 import random
 
 from factloom.operators import identity
+from factloom.plans.queries import _closeness as closeness
 
 
 def most_rows(df):
@@ -84,3 +85,38 @@ def test_blocks_are_counted_not_paired(spark, tmp_path):
     got = queries.QUERIES["j15_blocked_pairs"](spark, str(tmp_path))
     assert most_rows(got) <= 3 * n
     assert tuple(got.first()) == (n * n, *(n * n * (n - 1) // 2,) * 2)
+
+
+def odd_sides(spark, seed, lefts, rights):
+    """Balances with ties, wide runs of equal scores, repeated keys, null, NaN and infinite numbers, null blocks."""
+    r = random.Random(seed)
+    number = lambda: r.choice([None, float("nan"), float("inf"), float("-inf"), 1e9, -1e300, 0.0, -0.0, 2.4, round(r.gauss(0, 9), 2), r.random(), *[round(r.uniform(-1000, 9999), 2)] * 9])
+    side = lambda n, keys, c: spark.createDataFrame([(r.randrange(keys), r.choice([None, 1, 1, 1, 2, 3 if c == "left" else 4]), number()) for _ in range(n)], f"{c}_key long, block int, at double")
+    return side(lefts, lefts, "left"), side(rights, rights, "right")
+
+
+def all_pairs(left, right, digits):
+    from pyspark.sql import functions as F
+
+    return left.join(right.withColumnRenamed("at", "right_at"), "block").select("left_key", "right_key", F.round(closeness(F.abs(F.col("at") - F.col("right_at"))), digits).alias("score"))
+
+
+def test_nearest_equals_ranking_all_pairs(spark, monkeypatch):
+    from factloom.operators import nearest
+
+    monkeypatch.setattr(nearest, "LEFT_OF_TASK", 40)
+    for seed, lefts, rights, k, digits in ((1, 150, 400, 3, 6), (2, 150, 1500, 2, 6), (3, 100, 700, 1, 2), (4, 60, 5, 4, 6)):
+        left, right = odd_sides(spark, seed, lefts, rights)
+        want = sorted(map(str, map(tuple, identity.ranked_top(all_pairs(left, right, digits), k).collect())))
+        got = nearest.nearest_top(left, right, k, closeness, digits)
+        assert got.columns == ["left_key", "right_key", "score", "rank"]
+        assert sorted(map(str, map(tuple, got.collect()))) == want
+
+
+def test_top_of_a_large_block_makes_few_rows(spark, tmp_path):
+    from factloom.plans import queries
+
+    n = 2000
+    spark.range(n).selectExpr("id as c_custkey", "1 as c_nationkey", "id * 37 % 8009 / 1.0D as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(n).selectExpr("id as s_suppkey", "1 as s_nationkey", "id * 53 % 8009 / 1.0D as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert most_rows(queries.QUERIES["w02_top_k"](spark, str(tmp_path))) <= 10 * n
