@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from factloom.operators import identity
 from factloom.plans.queries import _closeness as closeness
 
@@ -113,10 +115,18 @@ def test_nearest_equals_ranking_all_pairs(spark, monkeypatch):
         assert sorted(map(str, map(tuple, got.collect()))) == want
 
 
-def test_top_of_a_large_block_makes_few_rows(spark, tmp_path):
+@pytest.mark.parametrize("name", ["w02_top_k", "a17_linkage_metrics", "i11_best_threshold"])
+def test_a_large_block_makes_few_rows(spark, tmp_path, name):
     from factloom.plans import queries
 
     n = 2000
     spark.range(n).selectExpr("id as c_custkey", "1 as c_nationkey", "id * 37 % 8009 / 1.0D as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(n).selectExpr("id as s_suppkey", "1 as s_nationkey", "id * 53 % 8009 / 1.0D as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
-    assert most_rows(queries.QUERIES["w02_top_k"](spark, str(tmp_path))) <= 10 * n
+    assert most_rows(queries.QUERIES[name](spark, str(tmp_path))) <= 10 * n
+
+
+def test_linkage_scores_count_repeated_truth_once(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "left_key long, right_key long")
+    given, truth = frame([(1, 1), (1, 2), (2, 1), (3, None), (3, 5)]), frame([(1, 2), (1, 2), (3, 5), (3, None)])
+    assert tuple(identity.linkage_scores(given, truth).first()) == (0.4, 0.5, 0.444444)
+    assert tuple(identity.linkage_scores(given.where("false"), truth).first()) == (0.0, 0.0, 0.0)
