@@ -21,8 +21,8 @@ from .identity import ranked_top
 
 #: Left numbers of a task that looks for the best, and pairs of one that counts.
 LEFT_OF_TASK, PAIRS_OF_TASK = 50_000, 40_000_000
-#: Pairs that are in memory at once; wider runs of equal scores than this many rows are reduced one by one.
-AT_ONCE, WIDE = 1_000_000, 64
+#: Pairs that are in memory at once, and that are scored at once; runs of more than so many rows for each of k are reduced one by one.
+AT_ONCE, IN_CACHE, WIDE = 1_000_000, 16_384, 64
 
 
 def _odd(at: str) -> Column:
@@ -67,8 +67,10 @@ def score_counts(left: DataFrame, right: DataFrame, score: Callable, digits: int
     sizes = left.groupBy("block").agg(F.count("*").alias("l")).join(right.groupBy("block").agg(F.count("*").alias("r")), "block")
     parts = sizes.select("block", F.ceil(F.col("l") * F.col("r") / PAIRS_OF_TASK).cast("int").alias("parts"))
     a, b = _dealt(left.where(~_odd("left_at")), right.where(~_odd("right_at")), parts)
-    raw = a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInArrow(_counts(score, digits), "raw double, n long")
-    finite = raw.select(F.round("raw", digits).alias("score"), "n")
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced by bytes
+    a, b = (side.repartition(n, "block", "part") for side in (a, b))
+    raw = a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInArrow(_counts(score, digits), "raw double, sure boolean, n long")
+    finite = raw.select(F.when(F.col("sure"), F.col("raw")).otherwise(F.round("raw", digits)).alias("score"), "n")
     odd = left.where(_odd("left_at")).join(right, "block").union(left.where(~_odd("left_at")).join(right.where(_odd("right_at")), "block"))
     return finite.union(_scored(odd, score, digits).select("score", F.col("left_n") * F.col("right_n"))).groupBy("score").agg(F.sum("n").alias("n"))
 
@@ -135,35 +137,51 @@ def _edge(holds: Callable, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def _counts(score: Callable, digits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("right_at", "ascending")])
         u, v, m, w = (t[c].to_numpy() for t, c in ((left, "left_at"), (right, "right_at"), (left, "left_n"), (right, "right_n")))
-        out, held = (np.empty(0), np.empty(0, np.int64)), []
-        wide = min(len(v), AT_ONCE) or 1
-        high = max(1, AT_ONCE // wide)
-        for j in range(0, len(v), wide):
-            for i in range(0, len(u), high):
+        unit, held = 10.0**digits, [(np.empty(0), np.empty(0, np.int64))]
+        if len(u) and len(v):
+            least, most = (np.floor(score(np.abs(x)) * unit) for x in (np.maximum(u.max() - v[0], v[-1] - u.min()), np.zeros(())))
+            few = most - least < 4 * AT_ONCE and m.sum(dtype=float) * w.sum(dtype=float) < 2.0**52
+            slack = 1e-7 + 1e-14 * max(abs(least), abs(most))
+            sums = np.zeros(int(most - least) + 2 if few else 0)
+            wide = min(len(v), IN_CACHE)
+            high = max(1, IN_CACHE // wide)
+            place, weight, filled = np.empty(AT_ONCE + IN_CACHE, np.int64), np.empty(AT_ONCE + IN_CACHE), 0
+            for i, j in ((i, j) for j in range(0, len(v), wide) for i in range(0, len(u), high)):
                 raw = score(np.abs(u[i : i + high, None] - v[None, j : j + wide])).ravel()
-                held.append(_summed(_rounded(raw, digits)[0], (m[i : i + high, None] * w[None, j : j + wide]).ravel(), digits))
-                if sum(len(x) for x, _ in held) > AT_ONCE:
-                    out, held = _summed(*map(np.concatenate, zip(out, *held, strict=True)), digits), []
-        out = _summed(*map(np.concatenate, zip(out, *held, strict=True)), digits)
-        return pa.table({"raw": out[0], "n": out[1]})
+                n = np.multiply(m[i : i + high, None], w[None, j : j + wide], dtype=float).ravel()
+                if not few:
+                    held.append(_summed(_rounded(raw, digits)[0], n.astype(np.int64)))
+                    if sum(len(x) for x, _ in held) > AT_ONCE:
+                        held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    continue
+                y = raw * unit
+                step = np.floor(y + 0.5)
+                y -= step
+                unsure = np.flatnonzero(np.abs(np.abs(y, out=y) - 0.5) <= slack)
+                if len(unsure):
+                    held.append((raw[unsure], n[unsure].astype(np.int64)))
+                    n[unsure] = 0
+                to = filled + len(raw)
+                np.subtract(step, least, out=place[filled:to], casting="unsafe")
+                weight[filled:to] = n
+                filled = to
+                if filled >= AT_ONCE:
+                    sums += np.bincount(place[:filled], weight[:filled], len(sums))
+                    filled = 0
+            if few:
+                sums += np.bincount(place[:filled], weight[:filled], len(sums))
+                at = np.flatnonzero(sums)
+                held.append(((at + least) / unit, sums[at].astype(np.int64)))
+        value, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+        return pa.table({"raw": value, "sure": _rounded(value, digits)[1], "n": n})
 
     return counted
 
 
-def _summed(value: np.ndarray, n: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values with the sums of n: by place where whole steps span little, else sorted."""
-    if not len(value):
-        return value, n
-    step = np.rint(value * 10.0**digits)
-    low, high = step.min(), step.max()
-    whole = step / 10.0**digits == value
-    placed, total = np.empty(0), np.empty(0, np.int64)
-    if high - low < 2 * AT_ONCE and n.sum(dtype=float) < 2.0**52:
-        sums = np.bincount((step[whole] - low).astype(np.int64), weights=n[whole]).astype(np.int64)
-        place = np.flatnonzero(sums)
-        placed, total, value, n = (place + low) / 10.0**digits, sums[place], value[~whole], n[~whole]
+def _summed(value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values with the sums of n."""
     by = np.argsort(value, kind="stable")
     heads = np.flatnonzero(np.diff(value[by], prepend=np.nan) != 0)
-    rest = np.add.reduceat(n[by], heads) if len(heads) else n[:0]
-    return np.concatenate([placed, value[by[heads]]]), np.concatenate([total, rest])
+    return value[by[heads]], np.add.reduceat(n[by], heads) if len(heads) else n[:0]

@@ -130,3 +130,32 @@ def test_linkage_scores_count_repeated_truth_once(spark):
     given, truth = frame([(1, 1), (1, 2), (2, 1), (3, None), (3, 5)]), frame([(1, 2), (1, 2), (3, 5), (3, None)])
     assert tuple(identity.linkage_scores(given, truth).first()) == (0.4, 0.5, 0.444444)
     assert tuple(identity.linkage_scores(given.where("false"), truth).first()) == (0.0, 0.0, 0.0)
+
+
+def test_score_counts_equal_all_pairs(spark, monkeypatch):
+    """Also where scores are at a half (2.40 apart: 0.9765625), are too many for places, or fill several blocks."""
+    from pyspark.sql import functions as F
+
+    from factloom.operators import nearest
+
+    monkeypatch.setattr(nearest, "PAIRS_OF_TASK", 20_000)
+    for seed, digits, at_once, in_cache in ((5, 6, 1_000_000, 16_384), (6, 6, 500, 64), (7, 2, 500, 64), (8, 9, 1_000_000, 16_384)):
+        monkeypatch.setattr(nearest, "AT_ONCE", at_once)
+        monkeypatch.setattr(nearest, "IN_CACHE", in_cache)
+        left, right = odd_sides(spark, seed, 200, 300)
+        want = all_pairs(left, right, digits).groupBy("score").agg(F.count("*").alias("n"))
+        got = nearest.score_counts(left, right, closeness, digits)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_threshold_of_counts_on_odd_balances(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factloom.plans import queries
+
+    left, right = odd_sides(spark, 9, 200, 100)
+    left.selectExpr("left_key as c_custkey", "block as c_nationkey", "at as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    right.selectExpr("right_key as s_suppkey", "block as s_nationkey", "at as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = all_pairs(left, right, 6)
+    want = identity.best_threshold(pairs, pairs.groupBy("left_key").agg(F.min("right_key").alias("right_key"))).first()
+    assert tuple(queries.QUERIES["i11_best_threshold"](spark, str(tmp_path)).first()) == tuple(want)
