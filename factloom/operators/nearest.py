@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .identity import ranked_top
 
 #: Left numbers of a task that looks for the best, and pairs of one that counts.
-LEFT_OF_TASK, PAIRS_OF_TASK = 50_000, 40_000_000
+LEFT_OF_TASK, PAIRS_OF_TASK = 50_000, 100_000_000
 #: Pairs that are in memory at once, and that are scored at once; runs of more than so many rows for each of k are reduced one by one.
 AT_ONCE, IN_CACHE, WIDE = 1_000_000, 16_384, 64
 
